@@ -17,9 +17,41 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_documents(spark, sf_dir))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.digest(_documents(spark, sf_dir))
+
+
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.digest(_documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.digest(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe
+
+    return bpe.digest(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_simhash": op2_simhash,
+        "op3_audio": op3_audio,
+        "op4_packing": op4_packing,
+        "op8_bpe": op8_bpe,
     }
 
 
