@@ -37,6 +37,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.digest(_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,15 +57,26 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rules
+
+    return rules.digest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_simhash": op2_simhash,
         "op3_audio": op3_audio,
         "op4_packing": op4_packing,
+        "op5_quality": op5_quality,
+        "op6_pii": op6_pii,
         "op8_bpe": op8_bpe,
+        "op10_rules": op10_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import rules
+
+    return {"op10_rules": rules.ORACLE_SQL}
