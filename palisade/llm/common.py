@@ -83,3 +83,25 @@ def batches_up_to(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+class Memory(dict):
+    """Results by key.  A full one is emptied between rows; results are only worked out anew."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def fill(self, keys: list, learn) -> list:
+        """Results of ``keys``; ``learn(key)`` works out one that is not known."""
+        if len(self) > self.most:
+            self.clear()
+        row = list(map(self.get, keys))
+        if None in row:
+            for i in [i for i, x in enumerate(row) if x is None]:
+                key = keys[i]
+                x = self.get(key)
+                if x is None:
+                    x = self[key] = learn(key)
+                row[i] = x
+        return row

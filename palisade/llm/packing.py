@@ -10,6 +10,7 @@ are cut at powers of two, where a window needs no padding.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,41 +24,67 @@ from . import common
 
 SIZE = 2048
 END = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[ \t\n\r]+")
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: visible Latin-1 stands for itself, the rest follow 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
 class WordEncoder:
     """Ids of a tokenizer that drops white space, as little-endian 32-bit bytes, word by word.
 
-    The tokenizer never joins what white space parts, so a text's ids are those of its words.  The words
-    that texts repeat are encoded once; a full memory is emptied.
+    The tokenizer never joins what white space parts, so a text's ids are those of its words.  Words that repeat are
+    encoded once, and so are their parts (letters, digits, marks), which repeat more; a full memory is emptied.  Words
+    outside plain Latin go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = common.Memory(CACHE_WORDS)
+        self.parts: dict[str, bytes] = {}
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        with open(path, encoding="utf-8") as f:
+            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.letters = dict(enumerate(byte_letters()))
 
     @staticmethod
     def words(text: str) -> list[str]:
         # str.split() also splits at \x1c-\x1f, which are no white space to the tokenizer
         return _SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
 
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) > CACHE_WORDS:
+                self.parts.clear()
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[part] = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(shown)])
+        return found
+
+    def word(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            return self.part(w.lower())
+        if _PLAIN(w):  # composed letters whose lower case is one step
+            return b"".join(map(self.part, self.pattern.findall(w.lower())))
+        ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+        return b"".join([self.packed[i] for i in ids])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(self.known.fill(self.words(t), self.word)) for t in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
