@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,21 +38,26 @@ class Bpe:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in self.rank.items()}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = common.Memory(CACHE_PIECES)
+        self.shown = {i: str(i) for i in self.bytes_of}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     # ------------------------------------------------------------ one match
 
     def merge(self, data: bytes) -> list[int]:
         """The merges in order of rank, leftmost first; for leaves and windows."""
-        rank = self.rank
+        get, none = self.rank.get, 1 << 30
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min(((rank.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if best == 1 << 30:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [rank[p] for p in parts]
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
+        return [self.rank[p] for p in parts]
 
     def stands(self, a: int, b: int) -> bool:
         """Whether the two tokens are the encoding of their bytes."""
@@ -106,17 +112,10 @@ class Bpe:
         return left + middle + right[k:]
 
     def encode(self, text: str) -> list[int]:
-        return [t for piece in self.pieces(text) for t in self.known_piece(piece)]
+        return list(itertools.chain.from_iterable(self.known.fill(self.pieces(text), self.tokens)))
 
-    def known_piece(self, piece: str) -> tuple[int, ...]:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-            found = tuple(self.encode_piece(piece.encode()))
-            if len(piece) <= 64:
-                self.known[piece] = found
-        return found
+    def tokens(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.encode_piece(piece.encode()))
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the tokens, halves concatenated up the tree."""
@@ -172,7 +171,7 @@ def digest(df: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def row(bpe: Bpe, text: str) -> tuple[int, str, str]:
         ids = bpe.encode(text)
         sha = hashlib.sha256
-        return len(ids), sha(" ".join(map(str, ids)).encode()).hexdigest(), sha(bpe.decode(ids)).hexdigest()
+        return len(ids), sha(" ".join(map(bpe.shown.__getitem__, ids)).encode()).hexdigest(), sha(bpe.decode(ids)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks, pattern)
