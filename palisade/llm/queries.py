@@ -49,6 +49,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_documents(spark, sf_dir))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import common, sharding
+
+    return sharding.digest(_documents(spark, sf_dir), common.shared_path(spark, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +63,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.digest(_documents(spark, sf_dir))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rules
 
@@ -71,12 +83,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_quality": op5_quality,
         "op6_pii": op6_pii,
+        "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
+        "op9_secrets": op9_secrets,
         "op10_rules": op10_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import rules
+    from . import rules, sharding
 
-    return {"op10_rules": rules.ORACLE_SQL}
+    return {"op7_sharding": sharding.ORACLE_SQL, "op10_rules": rules.ORACLE_SQL}

@@ -60,7 +60,7 @@ def test_against_brute_force(spark):
     fps = [slow_fingerprint(t) for t in docs]
     want = slow_components(ids, fps)
     assert got == {i: (f"{f:016x}", c) for i, f, c in zip(ids, fps, want)}
-    kept = S.keep_first(df, shingle=4).collect()
+    kept = S.keep_first(df, S.near_groups(df)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
 
 
@@ -102,5 +102,29 @@ def test_edges(spark):
     assert S.digest(empty).collect() == []
     rows = S.digest(spark.createDataFrame([(None, "a b"), (None, "a b"), (4, "c"), (4, "c"), (9, None)], "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.component_id) for r in rows) == Counter({(None, None): 2, (4, 4): 2, (9, 9): 1})
-    kept = S.keep_first(spark.createDataFrame([(4, "c"), (4, "c"), (None, "a"), (5, "c")], "doc_id long, text string")).collect()
+    df = spark.createDataFrame([(4, "c"), (4, "c"), (None, "a"), (5, "c")], "doc_id long, text string")
+    kept = S.keep_first(df, S.near_groups(df)).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 4]
+
+
+def test_similar_groups_catch_near_copies(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[r.choice(words) for _ in range(r.randrange(60, 400))] for _ in range(60)]
+    docs, want = [], []
+    for i, w in enumerate(base):
+        docs.append(w), want.append(i)
+        for share in (0.0, 0.005, 0.01):  # of the words changed: similarity above 0.9
+            c = list(w)
+            for _ in range(int(len(c) * share)):
+                c[r.randrange(len(c))] = r.choice(words)
+            docs.append(c), want.append(i)
+        half = w[: len(w) // 2] + [r.choice(words) for _ in range(len(w) // 2)]  # similarity of a third
+        docs.append(half), want.append(1000 + i)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(900, None), (901, ""), (None, "x")], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in S.similar_groups(df).collect()}
+    found = sum(got[i] == got[j] for i in range(len(docs)) for j in range(i) if want[i] == want[j])
+    assert found >= 0.97 * sum(want[i] == want[j] for i in range(len(docs)) for j in range(i))
+    assert not any(got[i] == got[j] for i in range(len(docs)) for j in range(i) if want[i] != want[j])
+    assert got[900] == got[901] == 900
+    assert S.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
