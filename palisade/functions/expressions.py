@@ -82,4 +82,5 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     """Haversine distance on the sphere."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * fixed.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # not least(): it passes over nulls, and a null coordinate has no distance
+    return F.lit(2 * fixed.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(h > 1.0, F.lit(1.0)).otherwise(h)))
