@@ -16,7 +16,7 @@ from ..functions import expressions as E
 from ..plans import fixed, graph, nodes, schema
 from ..plans.catalog import Catalog, Dataset
 from ..plans.validate import ValidatedPlan
-from . import spatial
+from . import pushdown, spatial
 
 GROUP_ROWS = "__group_rows"
 
@@ -60,12 +60,14 @@ class Context:
     plan: ValidatedPlan
     bindings: Bindings
     relations: dict[str, schema.Relation]
+    operators: tuple[nodes.Operator, ...]
     guarded: set[str] = field(default_factory=set)  # aggregates with a group-size guard after them
 
 
 def _scan(op: nodes.ScanSource, c: Context) -> DataFrame:
     version = c.plan.data_snapshots[op.dataset]
-    return conform(c.bindings.table(op.dataset, version), c.bindings.catalog.get(op.dataset))
+    stored = pushdown.restrict(c.bindings.table(op.dataset, version), pushdown.bounds(c.operators, op.operator_id))
+    return conform(stored, c.bindings.catalog.get(op.dataset))
 
 
 def _spatial_filter(op: nodes.SpatialFilter, c: Context, df: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def lower(plan: ValidatedPlan, bindings: Bindings, boundary: Callable[[str, Data
     relations, faults = schema.check(arranged, bindings.catalog)
     if faults:
         raise NotExecutable(f"{faults[0].code}: {faults[0].message}")
-    context = Context(plan, bindings, relations, _guarded(operators))
+    context = Context(plan, bindings, relations, operators, _guarded(operators))
     made: dict[str, DataFrame] = {}
     for op in graph.order(operators)[0]:
         df = LOWER[op.operator_type](op, context, *[made[i] for i in op.inputs])

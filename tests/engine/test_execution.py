@@ -348,3 +348,24 @@ def test_streams(spark, bound, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(lower(p, bound))
     with pytest.raises(NotExecutable):
         plans.lower_stream(made(scan(), op("Limit", row_count=1)), bound)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from palisade import testing_catalog as T
+
+    rows_ = [(i, i / 1000, datetime(2024, 1, 1 + i % 28)) for i in range(2000)]
+    spark.createDataFrame(rows_, "o_orderkey long, o_totalprice double, o_orderdate timestamp_ntz").selectExpr("*", "1L o_custkey", "'F' o_orderstatus", "'p' o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    operators = [
+        scan("orders"), op("TemporalFilter", field="o_orderdate", start="2024-01-05T00:00:00Z", end="2024-01-09T00:00:00Z"),
+        op("Filter", expression={"expression_type": "boolean", "operator": "and", "operands": [comparison("o_totalprice", "ge", "decimal", "0.05"), comparison("o_totalprice", "lt", "decimal", "1.2")]}),
+        op("Project", fields=["o_orderkey"]),
+    ]
+    bound = Bindings(spark, {"orders": str(tmp_path / "orders.parquet")}, T.catalog())
+    df = lower(T.validated(operators), bound)
+    text = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    pushed = next(line for line in text.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed and "GreaterThanOrEqual(o_totalprice" in pushed
+    assert "o_orderpriority" not in next(line for line in text.splitlines() if "ReadSchema" in line)
+    cents = lambda x: (Decimal(repr(x)).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP"))
+    want = [i for i, p, t in rows_ if datetime(2024, 1, 5) <= t < datetime(2024, 1, 9) and Decimal("0.05") <= cents(p) < Decimal("1.2")]
+    assert sorted(r.o_orderkey for r in df.collect()) == want
