@@ -369,3 +369,14 @@ def test_filters_reach_the_scan(spark, tmp_path):
     cents = lambda x: (Decimal(repr(x)).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP"))
     want = [i for i, p, t in rows_ if datetime(2024, 1, 5) <= t < datetime(2024, 1, 9) and Decimal("0.05") <= cents(p) < Decimal("1.2")]
     assert sorted(r.o_orderkey for r in df.collect()) == want
+
+
+def test_explain(spark, bound):
+    from palisade.operators import explain
+
+    p = made(scan(), op("Filter", expression=comparison("magnitude", "ge", "float", 5)), op("Project", fields=["event_id"]))
+    df = lower(p, bound)
+    assert explain.fingerprint(df) == explain.fingerprint(lower(p, bound)) != explain.fingerprint(df.limit(1))
+    found = list(explain.analyze(df.groupBy("event_id").count()).walk())
+    rows_out = [n.metrics["numOutputRows"] for n in found if "Aggregate" in n.name and "numOutputRows" in n.metrics]
+    assert rows_out and min(rows_out) == 2
