@@ -26,9 +26,11 @@ from . import common
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7)
+LEAST_ROWS = 4
+FORM_EPOCHS = 6
 EDGE = "\"'`.,;:!?()[]{}<>|#*$%&_-–—«»“”„…"
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 # Words that insult, as a labeller knows them.
 INSULTS = """
@@ -160,32 +162,36 @@ class Scorer(dict):
         return float(a), float(b)
 
 
-def train(texts: list[str], given: list[tuple[int | None, int | None]], epochs: int = 20, rate: float = 0.8, decay: float = 1e-5) -> Model:
+def train(texts: list[str], given: list[tuple[int | None, int | None]], epochs: int = 26, rate: float = 0.8, decay: float = 1e-5) -> Model:
     """Fit on texts and their given labels ((1 good / 0 low), (1 toxic / 0 not); None: not given)."""
     n = len(texts)
     if not n:
         return Model(np.zeros((2, 1 << BITS)), np.zeros((2, len(STRUCTURE))), np.full(2, -2.0))
-    tokens = [t.split() for t in texts]
-    size = np.array([max(1, len(t)) for t in tokens])
-    form = np.array([structure(t, w) for t, w in zip(texts, tokens, strict=True)]).reshape(n, len(STRUCTURE))
+    size, form = np.ones(n, np.int64), np.zeros((n, len(STRUCTURE)))
+    hits = [0] * n
+    insults = frozenset(INSULTS)
     memory: dict[str, list[int]] = {}
-    rows, slots, values = [], [], []
-    for i, words in enumerate(tokens):
+    slots, values = [], []
+    for i, text in enumerate(texts):  # a text's words go before the next one's come
+        words = text.split()
+        size[i] = max(1, len(words))
+        form[i] = structure(text, words)
         count: Counter = Counter()
         for w, c in Counter(words).items():
             known = memory.get(w)
             if known is None:
+                if len(memory) > 50_000:
+                    memory.clear()
                 known = memory[w] = word_slots(w)
             for s in known:
                 count[s] += c
+            if w.lower().strip(EDGE) in insults:
+                hits[i] += c
         slots.append(np.fromiter(count.keys(), np.int32, len(count)))
-        values.append(np.fromiter(count.values(), np.float32, len(count)) * 100 / size[i])
-        rows.append(np.full(len(count), i))
+        values.append(np.fromiter(count.values(), np.float32, len(count)) * np.float32(100 / size[i]))
     low = np.array([0 if q is None else 1 if q == 0 else -1 for q, _ in given])
     tox = np.array([0 if t is None else 1 if t == 1 else -1 for _, t in given])
     stems = _marking_slots(slots, values, tox)
-    insults = frozenset(INSULTS)
-    hits = [sum(w.lower().strip(EDGE) in insults for w in words) for words in tokens]
     share = [float(v[np.isin(s, stems)].sum()) / 100 for s, v in zip(slots, values, strict=True)]
     votes = [
         np.column_stack([np.array([quality_votes(list(f), k) for f, k in zip(form, size, strict=True)]).reshape(n, -1), low]),
@@ -194,7 +200,10 @@ def train(texts: list[str], given: list[tuple[int | None, int | None]], epochs:
     reliability = [expectation_maximisation(v) for v in votes]
     target = np.stack([r.posterior(v) for r, v in zip(reliability, votes, strict=True)])
     model = Model(np.zeros((2, 1 << BITS)), np.zeros((2, len(STRUCTURE))), np.full(2, -2.0), reliability)
-    _fit(model, rows, slots, values, form, target, epochs, rate, decay)
+    # what the labellers go by is where the toxic head starts
+    model.words[1, stems] = 0.3
+    model.words[1, [word_slots(w)[0] for w in INSULTS]] = 1.0
+    _fit(model, slots, values, form, target, epochs, rate, decay)
     return model
 
 
@@ -211,12 +220,25 @@ def _marking_slots(slots: list[np.ndarray], values: list[np.ndarray], tox: np.nd
     return np.flatnonzero((rate[1] > 8 * rate[0]) & (seen[1] >= max(8, 0.01 * rows[1])))
 
 
-def _fit(model: Model, rows: list, slots: list, values: list, form: np.ndarray, target: np.ndarray, epochs: int, rate: float, decay: float) -> None:
-    """Minibatch logistic regression with adaptive steps; rows in a fixed random order."""
-    n = len(rows)
+def _fit(model: Model, slots: list, values: list, form: np.ndarray, target: np.ndarray, epochs: int, rate: float, decay: float) -> None:
+    """Minibatch logistic regression with adaptive steps; rows in a fixed random order.
+
+    Form is fitted first, so that words only explain what it leaves; slots of fewer than LEAST_ROWS rows would only be
+    learned by heart and get no weight.
+    """
+    n = len(slots)
+    rows_with = np.zeros(1 << BITS, np.int32)
+    for s in slots:
+        rows_with[s] += 1
+    common_ = rows_with >= LEAST_ROWS
+    chosen = [common_[s] for s in slots]
+    slots = [s[k] for s, k in zip(slots, chosen, strict=True)]
+    values = [v[k] for v, k in zip(values, chosen, strict=True)]
     r = np.random.default_rng(7)
     square = [np.full(model.words.shape, 1e-3), np.full(model.structure.shape, 1e-3), np.full(2, 1e-3)]
-    for _ in range(epochs):
+    # few rows need more rounds for as many steps
+    rounds = max(1, -(-64 * 40 // max(n, 1)))
+    for epoch in range(epochs * rounds):
         order = r.permutation(n)
         for at in range(0, n, 64):
             batch = order[at : at + 64]
@@ -228,8 +250,9 @@ def _fit(model: Model, rows: list, slots: list, values: list, form: np.ndarray,
                 z = np.bincount(row, value * model.words[h, slot], len(batch)) + form[batch] @ model.structure[h] + model.bias[h]
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[h, batch]) / len(batch)
                 g = np.bincount(inverse, value * error[row], len(used)) + decay * model.words[h, used]
-                square[0][h, used] += g * g
-                model.words[h, used] -= 0.2 * rate * g / np.sqrt(square[0][h, used])
+                if epoch >= FORM_EPOCHS * rounds:
+                    square[0][h, used] += g * g
+                    model.words[h, used] -= 0.2 * rate * g / np.sqrt(square[0][h, used])
                 g = error @ form[batch] + decay * model.structure[h]
                 square[1][h] += g * g
                 model.structure[h] -= rate * g / np.sqrt(square[1][h])
@@ -260,10 +283,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000, id_: str =
 
 
 _SCORES = [T.StructField("low_quality", T.DoubleType()), T.StructField("toxic_score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-_SCORERS: dict[str, Scorer] = {}
 
 
-def classify(df: DataFrame, model: Model, text: str = "text", low_at: float = 0.5, toxic_at: float = 0.4) -> DataFrame:
+def classify(df: DataFrame, model: Model, text: str = "text", low_at: float = 0.4, toxic_at: float = 0.35) -> DataFrame:
     """``df`` with ``low_quality`` and ``toxic_score`` (chances) and ``kept`` (both below their thresholds).
 
     A null or empty text has no words and is judged by its form alone.  Equal texts get equal scores.  Input columns
@@ -277,10 +299,7 @@ def classify(df: DataFrame, model: Model, text: str = "text", low_at: float = 0.
     new = {f.name for f in _SCORES}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = sent.value.scorer()
-        score = _SCORERS[key].score
+        score = common.held(f"scorer {key}", lambda: sent.value.scorer()).score
         for batch in common.batches_up_to(batches, 1000):
             both = np.array([score(t) for t in common.texts(batch.column(text))]).reshape(-1, 2)
             columns = {f.name: batch.column(f.name) for f in schema.fields if f.name not in new}
