@@ -125,13 +125,8 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_LOADED: dict[tuple[str, str], Bpe] = {}
-
-
 def loaded(path: str, pattern: str) -> Bpe:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Bpe(path, pattern)
-    return _LOADED[path, pattern]
+    return common.held(f"pieces {path} {pattern}", lambda: Bpe(path, pattern))
 
 
 def encode_column(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:

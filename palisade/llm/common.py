@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
+import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not root and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="palisade-"))
     return root or sc._jsc.sc().getCheckpointDir().get()
 
@@ -50,10 +56,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that have ended."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner has a thread of its own
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -85,6 +91,25 @@ def batches_up_to(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(owner: str, make: Callable[[], object] = dict) -> object:
+    """What ``owner`` keeps in this worker from one batch and task to the next.
+
+    Workers live on through the stages of a pipeline, so an owner that comes anew takes the place of the one before: only
+    one operator's memory is kept, and freed memory is given back to the system.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 class Memory(dict):
     """Results by key.  A full one is emptied between rows; results are only worked out anew."""
 

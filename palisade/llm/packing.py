@@ -9,6 +9,7 @@ are cut at powers of two, where a window needs no padding.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -24,7 +25,7 @@ from . import common
 
 SIZE = 2048
 END = 1
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[ \t\n\r]+")
 _PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
@@ -87,16 +88,9 @@ class WordEncoder:
         return [b"".join(self.known.fill(self.words(t), self.word)) for t in texts]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return common.held(f"words {path}", lambda: WordEncoder(path))
 
 
 class SumOfSquares:
