@@ -186,23 +186,32 @@ class SpanModel:
         return total
 
 
+#: Belief about a labeller before any counts: chances of the votes -1, 0, 1 if the span is none, and if it is one; and its
+#: weight as a share of the spans.  A format check that fails is hard evidence, as a checksum is.
+PRIOR = ((0.6, 0.3, 0.1), (0.1, 0.3, 0.6))
+FORMAT_PRIOR = ((0.85, 0.1, 0.05), (0.01, 0.19, 0.8))
+WEIGHTS = (0.5, 0.05, 0.05, 0.05)
+
+
 def fit(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> SpanModel:
     """From (kind, votes, count): EM per kind, then a logistic classifier on the posteriors.
 
-    The counts start from the majority of the votes; each table has one invented vote of each value, so kinds that
-    are not there get weights too.
+    The counts start from the majority of the votes, and with failed formats as none; PRIOR is part of every table, so kinds
+    that are not there get weights too.
     """
     weights, reliability = [], {}
     n = len(LABELLERS)
     for kind in range(1, len(KINDS) + 1):
         own = [(v, c) for k, v, c in patterns if k == kind]
-        q = [0.9 if sum(v) > 0 else 0.1 for v, _ in own]
+        q = [0.02 if v[0] < 0 else 0.9 if sum(v) > 0 else 0.1 for v, _ in own]
+        spans_ = sum(c for _, c in own)
         table = [[[1 / 3] * 3 for _ in range(2)] for _ in range(n)]
         for _ in range(rounds if own else 0):
             prior = (1 + sum(p * c for p, (_, c) in zip(q, own, strict=True))) / (2 + sum(c for _, c in own))
             for j in range(n):
                 for t in (0, 1):
-                    mass = [1.0, 1.0, 1.0]
+                    belief = (PRIOR if j else FORMAT_PRIOR)[t]
+                    mass = [0.1 + WEIGHTS[j] * spans_ * b for b in belief]
                     for p, (v, c) in zip(q, own, strict=True):
                         mass[v[j] + 1] += c * (p if t else 1 - p)
                     table[j][t] = [m / sum(mass) for m in mass]

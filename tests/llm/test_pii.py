@@ -53,10 +53,10 @@ def test_base_against_loops(spark):
 
 def test_classifier_adds_what_labellers_support(spark):
     docs = [f"please mail joe{i}@host.com or call +1 (555) 010-99{i:02d}, pay by card 4111 1111 1111 1111, from ip 10.0.0.{i} ok" for i in range(40)]
-    docs += ["write by mail to ann [at] example [dot] org now", "call me by phone 555-123-4567 today", "order 1234567890123456 shipped"]
+    docs += ["write by mail to ann [at] example [dot] org now", "call me by phone 555-123-4567 today", "order 1234567890123456 shipped", "so 4539578763621487 it, is"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {r.doc_id: r for r in P.digest(df).collect()}
-    assert got[40].spans.startswith("email:") and got[41].spans.startswith("phone:") and got[42].spans == ""
+    assert got[40].spans.startswith("email:") and got[41].spans.startswith("phone:") and got[42].spans == "" and got[43].spans == ""
     assert got[40].n_email == 0
 
 
