@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -56,6 +56,7 @@ def fingerprints(df: DataFrame, keys: list[str], text: str = "text", shingle: in
     fields = [df.schema[k] for k in keys]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("fingerprints")
         for batch in common.batches_up_to(batches, 1000):
             fp = np.array([fingerprint(t, shingle) for t in common.text_bytes(batch.column(text))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(fp)], [*keys, "fp"])
@@ -141,20 +142,29 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
+KEYS = ["_h1", "_h2"]
+
+
+def row_keys(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """``id_``, ``text`` and two hashes of both, which name a row but for equal rows."""
+    return df.select(F.col(id_), F.col(text), F.xxhash64(id_, text).alias("_h1"), F.xxhash64(text, id_).alias("_h2"))
+
+
 def near_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """One row per row of ``df``: ``id_``, ``fp`` (long) and ``component_id``, the smallest id that links reach.
+    """One row per row of ``df``: ``id_``, ``fp`` (long), ``component_id``, the smallest id that links reach, the component's
+    ``root`` and the row's KEYS.
 
     Rows whose fingerprints differ in at most ``distance`` bits are linked; links chain.  A null text is the empty
     text; texts without words have fingerprint 0 and are linked like any other.  Equal rows stay separate rows of one
     component; a component whose ids are all null has the id null; an empty table gives an empty table.
     """
-    marked = common.write_table(fingerprints(df, [id_], text, shingle), "fingerprints")
+    marked = common.write_table(fingerprints(row_keys(df, id_, text), [id_, *KEYS], text, shingle), "fingerprints")
     nodes = common.write_table(marked.groupBy("fp").agg(F.min(id_).alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), nodes.count(), distance))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("_fp"), "left").select(id_, "fp", "component_id")
+    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return marked.join(named, F.col("fp") == F.col("_fp"), "left").select(id_, "fp", "component_id", "root", *KEYS)
 
 
 def hex16(column):
@@ -179,9 +189,10 @@ _MISS = 0.02
 
 
 def block_plan(n: int) -> tuple[int, int]:
-    """Bits of a block and number of blocks for ``n`` documents: keys of at least four times as many values, and so many
-    of them that texts of similarity 0.8 miss all with a chance of two in a hundred (less, the closer they are)."""
-    bits = max(16, math.ceil(math.log2(max(n, 1))) + 2)
+    """Bits of a block and number of blocks for ``n`` documents: keys of at least four times as many values, in steps of
+    four bits, and so many of them that texts of similarity 0.8 miss all with a chance of two in a hundred (less, the
+    closer they are).  The cost of a document grows with the logarithm of their number."""
+    bits = max(16, 4 * math.ceil((math.log2(max(n, 1)) + 2) / 4))
     meet = (1 - _WORD_SHARE) ** bits
     return bits, math.ceil(math.log(_MISS) / math.log(1 - meet))
 
@@ -211,7 +222,7 @@ def signature(text: bytes, word_bits: int, shingle: int = 5) -> bytes:
 
 
 def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """``id_``, ``node`` and ``component_id`` of every row; rows of shingle similarity 0.8 or more are linked.
+    """``id_``, ``node``, ``component_id``, ``root`` and KEYS of every row; rows of shingle similarity 0.8 or more are linked.
 
     Fingerprints are long enough to tell similarities apart: blocks of the word bits bring candidates together, and both
     parts' Hamming distances decide, as in ``near_groups``; 512 shingle bits place the border at 0.8 within about 0.05.
@@ -220,17 +231,19 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
     n = df.count()
     bits, blocks = block_plan(n)
     word_bits = -(-bits * blocks // 64) * 64
-    fields = [df.schema[id_]]
+    keyed = row_keys(df, id_, text)
+    fields = [keyed.schema[c] for c in (id_, *KEYS)]
     from pyspark.sql import types as T
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("fingerprints")
         for batch in common.batches_up_to(batches, 1000):
             found = [signature(t, word_bits, shingle) for t in common.text_bytes(batch.column(text))]
             node = np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_), pa.array(node), pa.array(found, pa.binary())], [id_, "node", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_, *KEYS)), pa.array(node), pa.array(found, pa.binary())], [id_, *KEYS, "node", "bits"])
 
     schema = T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType())])
-    marked = common.write_table(df.select(id_, text).mapInArrow(sign, schema), "signatures")
+    marked = common.write_table(keyed.mapInArrow(sign, schema), "signatures")
     nodes = marked.groupBy("node").agg(F.first("bits").alias("bits"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +301,10 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
             yield _signed(found)
 
     roots = components(dealt.mapInArrow(meet, "u long, v long"))
-    rooted = marked.select(id_, "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    rooted = rooted.select(id_, "node", F.coalesce("root", "node").alias("root"))
+    rooted = marked.select(id_, *KEYS, "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    rooted = rooted.select(id_, *KEYS, "node", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min(id_).alias("component_id")).withColumnRenamed("root", "_root")
-    return rooted.join(least, F.col("root") == F.col("_root")).select(id_, "node", "component_id")
+    return rooted.join(least, F.col("root") == F.col("_root")).select(id_, "node", "component_id", "root", *KEYS)
 
 
 def _signed(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -299,15 +312,15 @@ def _signed(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
 
-def keep_first(df: DataFrame, groups: DataFrame, id_: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each group of ``groups`` (``id_``, ``component_id``): the one of smallest id, and of equal
-    ids one.
+def keep_first(df: DataFrame, groups: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each component of ``groups``: the one of smallest id, null ids last; of equal ids and of
+    equal rows one.
 
-    Rows with a null id are kept, as nothing names them.
+    The texts are shuffled once, to meet the chosen rows' keys, and equal rows are told apart where they lie.
     """
-    groups = common.write_table(groups.select(id_, "component_id"), "groups")
-    gone = groups.where(F.col(id_) != F.col("component_id")).select(id_).distinct()
-    left = df.join(gone, id_, "left_anti")
-    twice = groups.where(F.col(id_) == F.col("component_id")).groupBy(id_).count().where("count > 1").select(id_)
-    copies = left.join(twice, id_, "left_semi").dropDuplicates([id_])
-    return left.join(twice, id_, "left_anti").select(*df.columns).unionByName(copies.select(*df.columns))
+    order = F.struct(F.col(id_).isNull(), F.col(id_), *KEYS)
+    chosen = groups.groupBy("root").agg(F.min(order).alias("row")).select(*[F.col(f"row.{k}").alias(f"{k}_") for k in KEYS])
+    keyed = df.withColumns({"_h1": F.xxhash64(id_, text), "_h2": F.xxhash64(text, id_)})
+    kept = keyed.join(chosen, (F.col("_h1") == F.col("_h1_")) & (F.col("_h2") == F.col("_h2_")), "left_semi")
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("_h1"))
+    return kept.withColumn("_place", place).where("_place = 1").select(*df.columns)

@@ -102,9 +102,10 @@ def test_edges(spark):
     assert S.digest(empty).collect() == []
     rows = S.digest(spark.createDataFrame([(None, "a b"), (None, "a b"), (4, "c"), (4, "c"), (9, None)], "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.component_id) for r in rows) == Counter({(None, None): 2, (4, 4): 2, (9, 9): 1})
-    df = spark.createDataFrame([(4, "c"), (4, "c"), (None, "a"), (5, "c")], "doc_id long, text string")
-    kept = S.keep_first(df, S.near_groups(df)).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 4]
+    df = spark.createDataFrame([(4, "c"), (4, "c"), (None, "a"), (None, "a"), (5, "c"), (None, "c"), (4, "z z"), (6, "z z")], "doc_id long, text string")
+    for groups in (S.near_groups(df), S.similar_groups(df)):
+        kept = S.keep_first(df, groups).collect()
+        assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, "a"), (4, "c"), (4, "z z")]
 
 
 def test_similar_groups_catch_near_copies(spark):
