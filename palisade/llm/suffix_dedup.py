@@ -159,15 +159,13 @@ class Hashes:
         return self.of(slice(0, n - length + 1), slice(length, n + 1))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
+    kept = common.held("powers")
+    have = kept.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), _U(base))
         have[0] = 1
-        _POWERS[base] = have = np.cumprod(have, dtype=_U)
+        kept[base] = have = np.cumprod(have, dtype=_U)
     return have[:n]
 
 
@@ -302,6 +300,14 @@ def _shards(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
         yield pa.Table.from_batches(rows)
 
 
+def _pieces(text: np.ndarray, window: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Stretches whose windows are all windows of ``text``, each once: a long document is worked on in parts that overlap by
+    one byte less than a window."""
+    step = max(size, 4 * window)
+    for at in range(0, max(1, len(text) - window + 1), step):
+        yield at, text[at : at + step + window - 1]
+
+
 def _sorted_distinct(keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     by = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
     new = np.ones(len(by), bool)
@@ -312,7 +318,7 @@ def _sorted_distinct(keys: np.ndarray, more: np.ndarray | None = None) -> np.nda
 
 
 def remove_repeats(
-    df: DataFrame, text: str = "text", window: int = 200, gram: int = 64, shard_bytes: int = 2 << 20, range_bytes: int = 4 << 20
+    df: DataFrame, text: str = "text", window: int = 200, gram: int = 64, shard_bytes: int = 1 << 20, range_bytes: int = 4 << 20
 ) -> DataFrame:
     """Every row of ``df`` with what is left of its text after all repeated windows are removed.
 
@@ -320,7 +326,8 @@ def remove_repeats(
     ``n_spans`` and ``removed`` (array of struct<start,end>, byte offsets of the maximal removed runs).  An input
     column with one of these names is replaced.  A null or empty text has nothing removed; texts shorter than
     ``window`` never match; equal rows are separate documents and remove each other's windows; an empty table
-    gives an empty table.  Shards hold whole documents: a longer document makes a shard of its own.
+    gives an empty table.  Shards hold whole documents; a longer document makes a shard of its own and is worked on in
+    overlapping pieces of a shard's size, whose repeats meet like those of different shards.
     """
     spark = df.sparkSession
     bits = max(2, min(20, int(np.ceil(np.log2(max(1, common.input_bytes(df)) / range_bytes)))))
@@ -331,22 +338,26 @@ def remove_repeats(
         for table in _shards(batches, text, shard_bytes):
             table = table.combine_chunks()
             data = _joined(common.text_bytes(table.column(text).combine_chunks()))
-            own = np.packbits(repeated_starts(data, window))
-            start, past, least, body, _ = runs(data, window, gram)
             shard = (partition << 28) | seq
             seq += 1
-            by = _sorted_distinct(least, body)
-            cuts = cut_ranges(least[by], bits)
-            filled = np.flatnonzero(np.diff(cuts))
-            slices = [by[cuts[r] : cuts[r + 1]] for r in filled.tolist()]
+            own = np.zeros(len(data), bool)
+            lists: list[tuple[int, bytes, bytes]] = []
+            for at, piece in _pieces(data, window, shard_bytes):
+                own[at : at + len(piece)] |= repeated_starts(piece, window)
+                _, _, least, body, _ = runs(piece, window, gram)
+                by = _sorted_distinct(least, body)
+                cuts = cut_ranges(least[by], bits)
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = by[cuts[r] : cuts[r + 1]]
+                    lists.append((r, least[part].tobytes(), body[part].tobytes()))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "shard": [shard] * (1 + len(slices)),
-                    "slot": pa.array([-1, *filled.tolist()], pa.int32()),
-                    "keys": pa.array([None, *(least[s].tobytes() for s in slices)], pa.binary()),
-                    "more": pa.array([None, *(body[s].tobytes() for s in slices)], pa.binary()),
-                    "rows": pa.array([_pack(table), *[None] * len(slices)], pa.binary()),
-                    "own": pa.array([_zip(own.tobytes()), *[None] * len(slices)], pa.binary()),
+                    "shard": [shard] * (1 + len(lists)),
+                    "slot": pa.array([-1, *(r for r, _, _ in lists)], pa.int32()),
+                    "keys": pa.array([None, *(k for _, k, _ in lists)], pa.binary()),
+                    "more": pa.array([None, *(m for _, _, m in lists)], pa.binary()),
+                    "rows": pa.array([_pack(table), *[None] * len(lists)], pa.binary()),
+                    "own": pa.array([_zip(np.packbits(own).tobytes()), *[None] * len(lists)], pa.binary()),
                 }
             )
 
@@ -378,45 +389,43 @@ def remove_repeats(
         own = np.unpackbits(np.frombuffer(_unzip(group.column("own")[0].as_py()), np.uint8), count=len(data)).astype(bool)
         return table, data, own
 
-    def judged(verdict: pa.Table, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Hashes]:
-        """Runs of a shard and their flags."""
-        start, past, least, body, hashes = runs(data, window, gram)
-        flags = np.zeros(len(start), np.uint8)
+    def judged(verdict: pa.Table, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Hashes]]:
+        """By piece: its place, its runs and their flags."""
         parts = [(x, len(x) // 17) for x in verdict.column("verdict").to_pylist()]
-        if parts and len(start):
-            g, b = (np.concatenate([np.frombuffer(x, _U, n, o * n * 8) for x, n in parts]) for o in (0, 1))
-            f = np.concatenate([np.frombuffer(x, np.uint8, n, 16 * n) for x, n in parts])
-            # both hashes are uniform, so their sum names a run as well as the pair does
-            key = g * _U(3) + b
-            by = np.argsort(key)
+        if not parts:
+            return
+        g, b = (np.concatenate([np.frombuffer(x, _U, n, o * n * 8) for x, n in parts]) for o in (0, 1))
+        f = np.concatenate([np.frombuffer(x, np.uint8, n, 16 * n) for x, n in parts])
+        # both hashes are uniform, so their sum names a run as well as the pair does; pieces' verdicts on one are the same
+        # but for SENDS, which any piece may do
+        key, inverse = np.unique(g * _U(3) + b, return_inverse=True)
+        flag = np.zeros(len(key), np.uint8)
+        np.bitwise_or.at(flag, inverse, f)
+        for at, piece in _pieces(data, window, shard_bytes):
+            start, past, least, body, hashes = runs(piece, window, gram)
             mine = least * _U(3) + body
-            at = np.minimum(np.searchsorted(key[by], mine), len(key) - 1)
-            same = key[by][at] == mine
-            flags[same] = f[by][at][same]
-        return start, past, flags, hashes
+            place = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+            yield at, start, past, np.where(key[place] == mine, flag[place], 0), hashes
 
     def spread(start: np.ndarray, past: np.ndarray, n: int) -> np.ndarray:
-        step = np.zeros(n + 1, np.int32)
-        np.add.at(step, start, 1)
-        np.add.at(step, past, -1)
-        return np.cumsum(step[:n]) > 0
+        return np.cumsum(np.bincount(start, minlength=n + 1)[:n] - np.bincount(past, minlength=n + 1)[:n]) > 0
 
-    def sent(data: np.ndarray, start: np.ndarray, past: np.ndarray, flags: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the runs that send, with their hashes."""
+    def sent(start: np.ndarray, past: np.ndarray, flags: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of a piece's runs that send, with their hashes."""
         chosen = (flags & SENDS) > 0
-        at = np.flatnonzero(spread(start[chosen], past[chosen], len(data)))
+        at = np.flatnonzero(spread(start[chosen], past[chosen], int(past.max(initial=0))))
         return at, hashes.of(at, at + window)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             _, data, _ = open_shard(left)
-            start, past, flags, hashes = judged(right, data)
-            _, key = sent(data, start, past, flags, hashes)
-            key = key[_sorted_distinct(key)]
-            cuts = cut_ranges(key, bits)
             shard = left.column("shard")[0].as_py()
-            out = [(shard, r, key[cuts[r] : cuts[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(cuts)).tolist()]
+            for _, start, past, flags, hashes in judged(right, data):
+                _, key = sent(start, past, flags, hashes)
+                key = key[_sorted_distinct(key)]
+                cuts = cut_ranges(key, bits)
+                out += [(shard, r, key[cuts[r] : cuts[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(cuts)).tolist()]
         return pa.table(
             {
                 "shard": pa.array([x[0] for x in out], pa.int64()),
@@ -437,6 +446,7 @@ def remove_repeats(
         out = [(s, k[hit[a:b]].tobytes()) for s, k, a, b in zip(group.column("shard").to_pylist(), keys, ends, ends[1:], strict=False) if hit[a:b].any()]
         return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "window": pa.array([x[1] for x in out], pa.binary())})
 
+    common.free_shuffles(spark)
     windows = common.write_table(edges.groupBy("slot").applyInArrow(meet_windows, "shard long, window binary"), "windows")
     common.free_shuffles(spark)
     back = verdicts.select("shard", "verdict", F.lit(None).cast("binary").alias("window")).unionByName(
@@ -459,27 +469,25 @@ def remove_repeats(
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         table, data, repeated = open_shard(left)
         if right.num_rows:
-            known = right.column("verdict").is_valid()
-            start, past, flags, hashes = judged(right.filter(known), data)
-            full = (flags & REPEATED) > 0
-            repeated |= spread(start[full], past[full], len(data))
             lists = [np.frombuffer(x, _U) for x in right.filter(right.column("window").is_valid()).column("window").to_pylist()]
-            if lists:
-                at, key = sent(data, start, past, flags, hashes)
-                repeated[at[np.isin(key, np.concatenate(lists))]] = True
-        starts = np.flatnonzero(repeated)
-        gone = spread(starts, starts + window, len(data))
+            elsewhere = np.unique(np.concatenate(lists)) if lists else np.zeros(0, _U)
+            for at, start, past, flags, hashes in judged(right.filter(right.column("verdict").is_valid()), data):
+                full = (flags & REPEATED) > 0
+                n = int(past.max(initial=0))
+                repeated[at : at + n] |= spread(start[full], past[full], n)
+                if len(elsewhere):
+                    place, key = sent(start, past, flags, hashes)
+                    repeated[at + place[np.isin(key, elsewhere)]] = True
         cols: dict[str, list] = {k: [] for k in ("kept", "kept_text", "n_bytes", "n_removed", "n_spans", "removed")}
         at = 0
         for size in np.diff(np.concatenate([[-1], np.flatnonzero(data == SEPARATOR)])).tolist():
-            body, mask = data[at : at + size - 1], gone[at : at + size - 1]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-            spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-            kept = body[~mask].tobytes()
-            cols["kept"].append(kept)
-            cols["kept_text"].append(whole_characters(body.tobytes(), spans))
-            cols["n_bytes"].append(size - 1)
-            cols["n_removed"].append(int(mask.sum()))
+            body = data[at : at + size - 1].tobytes()
+            spans = covered(np.flatnonzero(repeated[at : at + size - 1]), window)
+            gaps = zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(body)], strict=True)
+            cols["kept"].append(b"".join(body[a:b] for a, b in gaps))
+            cols["kept_text"].append(whole_characters(body, spans))
+            cols["n_bytes"].append(len(body))
+            cols["n_removed"].append(sum(b - a for a, b in spans))
             cols["n_spans"].append(len(spans))
             cols["removed"].append([{"start": a, "end": b} for a, b in spans])
             at += size
@@ -490,6 +498,14 @@ def remove_repeats(
     return shards.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(finish, out_schema)
 
 
+def covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that windows at ``starts`` (ascending) cover."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > window) + 1
+    return list(zip(starts[np.concatenate([[0], cut])].tolist(), (starts[np.concatenate([cut - 1, [len(starts) - 1]])] + window).tolist(), strict=True))
+
+
 def whole_characters(body: bytes, spans: list[tuple[int, int]]) -> str:
     """``body`` without ``spans``, each drawn in so that no character is cut."""
     out, at = [], 0
