@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,22 +77,38 @@ def block_masks(n: int, distance: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(each, blocks - distance)]
 
 
-def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints: (member, smallest of its tree)."""
-    rest, out = np.sort(fp), []
+_CELLS = 1 << 20  # comparisons at once
+
+
+def spanning(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of the links among ``n`` members: (member, first of its tree).
+
+    ``near(rest, some)`` tells which of ``rest`` link to any of ``some``.  Breadth first: members that are reached leave the rest,
+    and as many reached ones at once look for the rest as there is room to compare.
+    """
+    out: list[tuple[int, int]] = []
+    rest = np.arange(n)
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
-        frontier = [root]
-        while frontier and len(rest):
-            near = np.bitwise_count(rest ^ frontier.pop()) <= distance
-            if near.any():
-                reached = rest[near]
-                rest = rest[~near]
-                frontier.extend(reached)
-                out.extend((int(x), int(root)) for x in reached)
+        frontier = np.array([root])
+        while len(frontier) and len(rest):
+            k = max(1, _CELLS // len(rest))
+            some, frontier = frontier[:k], frontier[k:]
+            hit = near(rest, some)
+            if hit.any():
+                reached, rest = rest[hit], rest[~hit]
+                frontier = np.concatenate([frontier, reached])
+                out += zip(reached.tolist(), itertools.repeat(int(root)), strict=False)
     return out
 
 
+def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among distinct fingerprints: (member, smallest of its tree)."""
+    fp = np.sort(fp)
+    found = spanning(len(fp), lambda rest, some: (np.bitwise_count(fp[rest][None, :] ^ fp[some][:, None]) <= distance).any(axis=0))
+    return [(int(fp[a]), int(fp[b])) for a, b in found]
+
+
 def links(nodes: DataFrame, n: int, distance: int) -> DataFrame:
     """Edges (u, v) among the distinct fingerprints ``fp`` of ``nodes``, enough to connect every close pair."""
     masks = block_masks(n, distance)
@@ -259,22 +275,18 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
 
     dealt = nodes.mapInArrow(deal, "key long, node long, bits binary").repartition("key").sortWithinPartitions("key", "node")
 
-    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        differ = np.bitwise_count(a ^ b)
-        w = word_bits // 64
-        return (differ[:, :w].sum(axis=1) <= _WORD_LIMIT * word_bits) & (differ[:, w:].sum(axis=1) <= _SHINGLE_LIMIT * SHINGLE_BITS)
+    w = word_bits // 64
+    limits = _WORD_LIMIT * word_bits, _SHINGLE_LIMIT * SHINGLE_BITS
 
     def trees(node: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-        out, rest = [], np.arange(len(node))
-        while len(rest) > 1:
-            root, rest = rest[0], rest[1:]
-            frontier = [root]
-            while frontier and len(rest):
-                near = close(sig[rest], sig[frontier.pop()][None, :])
-                reached, rest = rest[near], rest[~near]
-                frontier.extend(reached)
-                out.extend((int(node[x]), int(node[root])) for x in reached)
-        return out
+        def near(rest: np.ndarray, some: np.ndarray) -> np.ndarray:
+            hit = np.zeros(len(rest), bool)
+            for i in some:  # a signature has a dozen words: one member at a time fills the room
+                differ = np.bitwise_count(sig[rest] ^ sig[i])
+                hit |= (differ[:, :w].sum(axis=1) <= limits[0]) & (differ[:, w:].sum(axis=1) <= limits[1])
+            return hit
+
+        return [(int(node[a]), int(node[b])) for a, b in spanning(len(node), near)]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, nodes_, sigs = None, [], []
