@@ -115,7 +115,7 @@ class SumOfSquares:
         change[top] = 1 - 2 * c[top]
         change[0] = 2 * c[length] + 1
         change[1:][c[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        level = top if top > 0 and c[top] else int(change.argmin())
+        level = top - int(change[::-1].argmin())  # of equals the fullest
         if level:
             window = self.open[level].pop()
             c[level] -= 1
