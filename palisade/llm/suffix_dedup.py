@@ -203,7 +203,8 @@ def runs(text: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     keep = whole[edges]
     start, past = edges[keep], past[keep]
     body = hashes.of(start, past - 1 + window) + (past - start).astype(_U)
-    return start, past, smallest[start], body, hashes
+    # the smallest of many hashes is a small one: mixed again, they fill the ranges evenly
+    return start, past, _mix(smallest[start] + _U(_ODD)), body, hashes
 
 
 # ---------------------------------------------------------------- sorted lists and their merging

@@ -81,3 +81,12 @@ def test_merge_is_by_order():
     lists = [np.sort(r.integers(0, 50, n).astype(np.uint64)) for n in (5, 0, 9, 3, 20)]
     keys, place = S.merge_sorted(lists)
     assert (np.concatenate(lists)[place] == keys).all() and (np.diff(keys.astype(int)) >= 0).all()
+
+
+def test_ranges_are_even():
+    r = np.random.default_rng(5)
+    text = r.integers(97, 123, 400_000).astype(np.uint8)
+    _, _, least, body, _ = S.runs(text, 200, 64)
+    for keys in (least, body):
+        sizes = np.diff(S.cut_ranges(np.sort(keys), 4))
+        assert sizes.max() < 1.3 * sizes.mean()
