@@ -195,22 +195,40 @@ def digest(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- similarity of shingle sets
 
-#: Share of differing bits of two texts with a shingle similarity of 0.8, by what the bits are made of: sets with Jaccard
-#: similarity s have cosine 2s/(1+s), and a bit differs with chance acos(cosine)/pi.  A changed word changes five
-#: shingles but one word, so the word bits of such texts differ far less, and those are the ones cut into blocks.
-SHINGLE_BITS = 512
-_WORD_SHARE = 0.067
+#: Bits of a fingerprint's two parts.
+WORD_BITS, SHINGLE_BITS = 512, 512
 _WORD_LIMIT, _SHINGLE_LIMIT = 0.13, 0.175
-_MISS = 0.02
 
+#: Smallest hashes of a key, and number of keys.  Two sets share a smallest hash with the chance of their Jaccard similarity, however
+#: they came to differ and however many documents there are: at 0.8, all keys are missed with a chance of (1 - 0.8**6)**20 = 0.002.
+MINIMA, BANDS = 6, 20
 
-def block_plan(n: int) -> tuple[int, int]:
-    """Bits of a block and number of blocks for ``n`` documents: keys of at least four times as many values, in steps of
-    four bits, and so many of them that texts of similarity 0.8 miss all with a chance of two in a hundred (less, the
-    closer they are).  The cost of a document grows with the logarithm of their number."""
-    bits = max(16, 4 * math.ceil((math.log2(max(n, 1)) + 2) / 4))
-    meet = (1 - _WORD_SHARE) ** bits
-    return bits, math.ceil(math.log(_MISS) / math.log(1 - meet))
+
+def _odd(seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed) | 1 for i in range(MINIMA * BANDS)], np.uint64)[:, None]
+
+
+_SALT, _FACTOR = _odd(1), _odd(2)
+
+
+def shingle_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Keys (signed 64 bits) of a set of shingles; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(MINIMA * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[at : at + 1024] ^ _SALT) * _FACTOR).min(axis=1), out=least)
+    raw, size = least.tobytes(), 8 * MINIMA
+    return np.array([xxhash.xxh64_intdigest(raw[size * j : size * (j + 1)], j) for j in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
 def _majority(hashes: list[int], words: int) -> np.ndarray:
@@ -240,13 +258,9 @@ def signature(text: bytes, word_bits: int, shingle: int = 5) -> bytes:
 def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``id_``, ``node``, ``component_id``, ``root`` and KEYS of every row; rows of shingle similarity 0.8 or more are linked.
 
-    Fingerprints are long enough to tell similarities apart: blocks of the word bits bring candidates together, and both
-    parts' Hamming distances decide, as in ``near_groups``; 512 shingle bits place the border at 0.8 within about 0.05.
+    Keys of the smallest hashes of the shingles bring candidates together, and Hamming distances of word and shingle bits decide, as in ``near_groups``; 512 shingle bits place the border at 0.8 within about 0.05.
     Nulls, empty texts, equal rows and empty tables are treated as there.
     """
-    n = df.count()
-    bits, blocks = block_plan(n)
-    word_bits = -(-bits * blocks // 64) * 64
     keyed = row_keys(df, id_, text)
     fields = [keyed.schema[c] for c in (id_, *KEYS)]
     from pyspark.sql import types as T
@@ -254,29 +268,19 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held("fingerprints")
         for batch in common.batches_up_to(batches, 1000):
-            found = [signature(t, word_bits, shingle) for t in common.text_bytes(batch.column(text))]
+            texts = common.text_bytes(batch.column(text))
+            found = [signature(t, WORD_BITS, shingle) for t in texts]
+            keys = [bands(shingle_hashes(t, shingle)) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_, *KEYS)), pa.array(node), pa.array(found, pa.binary())], [id_, *KEYS, "node", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_, *KEYS)), pa.array(node), pa.array(found, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [id_, *KEYS, "node", "bits", "bands"])
 
-    schema = T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     marked = common.write_table(keyed.mapInArrow(sign, schema), "signatures")
-    nodes = marked.groupBy("node").agg(F.first("bits").alias("bits"))
+    nodes = marked.groupBy("node").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    dealt = nodes.select(F.explode("bands").alias("key"), "node", "bits").repartition("key").sortWithinPartitions("key", "node")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.batches_up_to(batches, 2000):
-            raw = batch.column("bits").to_pylist()
-            each = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1)[:, : bits * blocks]
-            keys = np.packbits(each.reshape(len(raw), blocks, bits), axis=2)
-            wide = np.zeros((len(raw), blocks, 8), np.uint8)
-            wide[:, :, : keys.shape[2]] = keys
-            key = wide.view("<i8")[:, :, 0] * 128 + np.arange(blocks)
-            for j in range(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, j]), batch.column("node"), batch.column("bits")], ["key", "node", "bits"])
-
-    dealt = nodes.mapInArrow(deal, "key long, node long, bits binary").repartition("key").sortWithinPartitions("key", "node")
-
-    w = word_bits // 64
-    limits = _WORD_LIMIT * word_bits, _SHINGLE_LIMIT * SHINGLE_BITS
+    w = WORD_BITS // 64
+    limits = _WORD_LIMIT * WORD_BITS, _SHINGLE_LIMIT * SHINGLE_BITS
 
     def trees(node: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
         def near(rest: np.ndarray, some: np.ndarray) -> np.ndarray:

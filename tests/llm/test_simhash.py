@@ -129,3 +129,43 @@ def test_similar_groups_catch_near_copies(spark):
     assert not any(got[i] == got[j] for i in range(len(docs)) for j in range(i) if want[i] != want[j])
     assert got[900] == got[901] == 900
     assert S.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def edited(r, w, kind, similarity):
+    """A copy of the words with its tail cut off or new words appended, of about that shingle similarity and not below it."""
+    m = len(w) - 4
+    if kind == "truncated":
+        return w[: -(-int(m * similarity * 1000) // 1000) + 5]
+    return w + [f"n{r.randrange(3000)}" for _ in range(int(m * (1 / similarity - 1)))]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited_pairs(similarity, each=60):
+    r = random.Random(21)
+    base = [[f"w{r.randrange(3000)}" for _ in range(r.randrange(60, 400))] for _ in range(each)]
+    return [(w, edited(r, w, kind, similarity)) for kind in ("truncated", "appended") for w in base]
+
+
+def linked(spark, pairs):
+    """Share of the pairs whose documents are in one component; every pair's words are its own."""
+    docs = [(2 * i + j, " ".join(f"{x}p{i}" for x in w)) for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    got = {x.doc_id: x.component_id for x in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    return sum(got[2 * i] == got[2 * i + 1] for i in range(len(pairs))) / len(pairs)
+
+
+def test_copies_cut_or_extended_share_a_key():
+    for similarity in (0.8, 0.85, 0.9, 0.95):
+        pairs = edited_pairs(similarity)
+        assert all(similarity <= jaccard(*p) < similarity + 0.03 for p in pairs)
+        keys = [[set(S.bands(S.shingle_hashes(" ".join(w).encode()))) for w in p] for p in pairs]
+        assert sum(bool(a & b) for a, b in keys) >= 0.98 * len(pairs)
+    assert S.bands(S.shingle_hashes(b" ")) == []
+
+
+def test_copies_cut_or_extended_are_grouped(spark):
+    for similarity in (0.9, 0.95):
+        assert linked(spark, edited_pairs(similarity)) >= 0.93
