@@ -195,10 +195,6 @@ def digest(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- similarity of shingle sets
 
-#: Bits of a fingerprint's two parts.
-WORD_BITS, SHINGLE_BITS = 512, 512
-_WORD_LIMIT, _SHINGLE_LIMIT = 0.13, 0.175
-
 #: Smallest hashes of a key, and number of keys.  Two sets share a smallest hash with the chance of their Jaccard similarity, however
 #: they came to differ and however many documents there are: at 0.8, all keys are missed with a chance of (1 - 0.8**6)**20 = 0.002.
 MINIMA, BANDS = 6, 20
@@ -231,35 +227,42 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(raw[size * j : size * (j + 1)], j) for j in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
-def _majority(hashes: list[int], words: int) -> np.ndarray:
-    """SimHash of ``words`` 64-bit words from one hash per feature, each word from another mixing of it."""
-    if not hashes:
-        return np.zeros(words * 8, np.uint8)
-    ones = np.zeros(words * 64, np.int64)
-    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 4096):
-        h = np.array(hashes[at : at + 4096], np.uint64)[:, None] ^ salt
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes))
+def alike(common_: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of ``a`` and ``b`` members, ``common_`` of them common, have a Jaccard similarity of 0.8 or more."""
+    return 5 * common_ >= 4 * (a + b - common_)
 
 
-def signature(text: bytes, word_bits: int, shingle: int = 5) -> bytes:
-    """Majority bits of a text's set of words, then of its set of shingles."""
-    words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    rows = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    parts = [_majority([digest(x, SEED) for x in some], size // 64) for some, size in ((set(words), word_bits), (rows, SHINGLE_BITS))]
-    return np.concatenate(parts).tobytes()
+def trees(node: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of the links among ``node``, by the exact similarity of their sets (sorted, distinct)."""
+    if len(node) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return [(node[1], node[0])] if alike(both, *map(len, sets)) else []
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    names, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code = code.astype(np.int32)
+    marked = np.zeros(len(names), bool)
+
+    def near(rest: np.ndarray, some: np.ndarray) -> np.ndarray:
+        begin = np.cumsum(size[rest]) - size[rest]
+        theirs = code[np.arange(size[rest].sum()) + np.repeat(start[rest] - begin, size[rest])]
+        hit = np.zeros(len(rest), bool)
+        for i in some:
+            own = code[start[i] : start[i] + size[i]]
+            marked[own] = True
+            hit |= alike(np.add.reduceat(marked[theirs], begin, dtype=np.int64), size[rest], size[i])
+            marked[own] = False
+        return hit
+
+    return [(node[a], node[b]) for a, b in spanning(len(node), near)]
 
 
 def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``id_``, ``node``, ``component_id``, ``root`` and KEYS of every row; rows of shingle similarity 0.8 or more are linked.
 
-    Keys of the smallest hashes of the shingles bring candidates together, and Hamming distances of word and shingle bits decide, as in ``near_groups``; 512 shingle bits place the border at 0.8 within about 0.05.
-    Nulls, empty texts, equal rows and empty tables are treated as there.
+    Equal sets of shingles are one node.  Keys of the smallest hashes bring candidates together, and the exact Jaccard similarity of
+    the sets (of 32-bit hashes) decides.  Only nodes that meet others are dealt with their sets, and to one key of those that have
+    the same nodes.  Nulls, empty texts, equal rows and empty tables are treated as in ``near_groups``.
     """
     keyed = row_keys(df, id_, text)
     fields = [keyed.schema[c] for c in (id_, *KEYS)]
@@ -268,52 +271,35 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held("fingerprints")
         for batch in common.batches_up_to(batches, 1000):
-            texts = common.text_bytes(batch.column(text))
-            found = [signature(t, WORD_BITS, shingle) for t in texts]
-            keys = [bands(shingle_hashes(t, shingle)) for t in texts]
-            node = np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_, *KEYS)), pa.array(node), pa.array(found, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [id_, *KEYS, "node", "bits", "bands"])
-
-    schema = T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    marked = common.write_table(keyed.mapInArrow(sign, schema), "signatures")
-    nodes = marked.groupBy("node").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    dealt = nodes.select(F.explode("bands").alias("key"), "node", "bits").repartition("key").sortWithinPartitions("key", "node")
-
-    w = WORD_BITS // 64
-    limits = _WORD_LIMIT * WORD_BITS, _SHINGLE_LIMIT * SHINGLE_BITS
-
-    def trees(node: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-        def near(rest: np.ndarray, some: np.ndarray) -> np.ndarray:
-            hit = np.zeros(len(rest), bool)
-            for i in some:  # a signature has a dozen words: one member at a time fills the room
-                differ = np.bitwise_count(sig[rest] ^ sig[i])
-                hit |= (differ[:, :w].sum(axis=1) <= limits[0]) & (differ[:, w:].sum(axis=1) <= limits[1])
-            return hit
-
-        return [(int(node[a]), int(node[b])) for a, b in spanning(len(node), near)]
+            found = [shingle_hashes(t, shingle) for t in common.text_bytes(batch.column(text))]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64).view(np.int64)
+            keys = pa.array(list(map(bands, found)), pa.list_(pa.int64()))
+            sets = pa.array([np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_, *KEYS)), pa.array(node), keys, sets], [id_, *KEYS, "node", "bands", "hashes"])
+
+    schema = T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("hashes", T.BinaryType())])
+    marked = common.write_table(keyed.mapInArrow(sign, schema), "shingles")
+    met = marked.select("node", "bands").distinct().select(F.explode("bands").alias("key"), "node")
+    members = F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    chosen = met.groupBy("key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    places = met.join(chosen, "key").withColumnRenamed("node", "_node")
+    sets = marked.groupBy("node").agg(F.first("hashes").alias("hashes"))
+    dealt = places.join(sets, F.col("_node") == F.col("node")).select("key", "node", "hashes").repartition("key").sortWithinPartitions("key", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, nodes_, sigs = None, [], []
-
-        def done() -> list[tuple[int, int]]:
-            return trees(np.concatenate(nodes_), np.concatenate(sigs)) if sum(map(len, nodes_)) > 1 else []
-
-        for batch in batches:
-            key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-            raw = batch.column("bits").to_pylist()
-            sig = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
-            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        last, nodes, sets = None, [], []
+        for batch in common.batches_up_to(batches, 1000):
             found: list[tuple[int, int]] = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if key[a] != last:
-                    if len(nodes_) > 1 or nodes_ and len(nodes_[0]) > 1:
-                        found += done()
-                    last, nodes_, sigs = key[a], [], []
-                nodes_.append(node[a:b])
-                sigs.append(sig[a:b])
+            for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "hashes")), strict=True):
+                if key != last:
+                    if len(nodes) > 1:
+                        found += trees(nodes, sets)
+                    last, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(raw, "<u4"))
             if found:
                 yield _signed(found)
-        if nodes_ and (found := done()):
+        if len(nodes) > 1 and (found := trees(nodes, sets)):
             yield _signed(found)
 
     roots = components(dealt.mapInArrow(meet, "u long, v long"))

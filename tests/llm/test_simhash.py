@@ -169,3 +169,27 @@ def test_copies_cut_or_extended_share_a_key():
 def test_copies_cut_or_extended_are_grouped(spark):
     for similarity in (0.9, 0.95):
         assert linked(spark, edited_pairs(similarity)) >= 0.93
+
+
+def test_exact_similarity_decides(spark):
+    for similarity in (0.8, 0.83, 0.87):
+        assert linked(spark, edited_pairs(similarity)) >= 0.98
+    below = [p for s in (0.75, 0.78) for p in edited_pairs(s) if jaccard(*p) < 0.8]
+    assert len(below) > 200 and linked(spark, below) == 0
+
+
+def test_trees_against_all_pairs():
+    r = np.random.default_rng(8)
+    base = [np.arange(1000 * i, 1000 * i + 200) for i in range(4)]
+    sets = [np.unique(np.concatenate([b[: r.integers(150, 200)], r.integers(9000, 9100, r.integers(0, 40))])).astype("<u4") for b in base for _ in range(25)]
+    node = [int(x) for x in r.permutation(len(sets)) - 50]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            a_, b_ = set(a.tolist()), set(b.tolist())
+            if len(a_ & b_) / len(a_ | b_) >= 0.8:
+                root = [root[j] if x == root[i] else x for x in root]
+    found = dict(S.trees(node, sets))
+    got = [found.get(n, n) for n in node]
+    assert len(set(root)) > 3
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in range(len(sets)) for j in range(i))
