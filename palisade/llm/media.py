@@ -171,6 +171,25 @@ def tensors(f: Features, p: AudioParams) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def stored(text: bytes, p: AudioParams) -> tuple[bytes, Features, bytes]:
+    """The sound of a text, its features and its tensors, as they are stored."""
+    media = store(payload(text), p.rate)
+    f = features(media, p)
+    return media, f, tensors(f, p)
+
+
+def tensor_summary(mel: bytes, f: Features, p: AudioParams) -> str:
+    """Number and hash of the stored tensors, once what is read back holds the frames and their time spans."""
+    table = pa.ipc.open_stream(mel).read_all()
+    frames, start, end = (table.column(c).to_numpy() for c in ("frames", "start_s", "end_s"))
+    back = np.concatenate([c.to_numpy_ndarray() for c in table.column("mel").chunks]).reshape(-1, p.n_mels)
+    first = np.arange(len(frames)) * p.tensor_frames
+    whole = frames.sum() == len(f.mel) and np.array_equal(back[: len(f.mel)], f.mel) and not back[len(f.mel) :].any()
+    if not whole or not np.allclose(start, first * p.hop_s) or not np.allclose(end - start, (frames - 1) * p.hop_s + p.frame_s):
+        raise ValueError("stored tensors differ from the frames")
+    return f"tensors={len(frames)};tensors_crc32={zlib.crc32(mel)}"
+
+
 def summary(f: Features) -> str:
     """Frames, segments, seconds in segments, and each band's mean to two places."""
     mean = ",".join(f"{v:.2f}" for v in (f.mel.mean(axis=0, dtype=np.float64) + 0.0).tolist())
@@ -197,12 +216,11 @@ def audio_columns(df: DataFrame, text: str = "text", params: AudioParams | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches_up_to(batches, 100):
-            media = [store(payload(t), p.rate) for t in common.text_bytes(batch.column(text))]
-            found = [features(m, p) for m in media]
+            media, found, mel = zip(*(stored(t, p) for t in common.text_bytes(batch.column(text))), strict=True)
             columns = {f.name: batch.column(f.name) for f in schema.fields if f.name not in new}
             columns |= {
                 "media": pa.array(media, pa.binary()),
-                "mel": pa.array([tensors(f, p) for f in found], pa.binary()),
+                "mel": pa.array(mel, pa.binary()),
                 "segments": pa.array([[{"start_s": a, "end_s": b} for a, b in f.spans] for f in found], span),
                 "feature": pa.array([summary(f) for f in found]),
             }
@@ -215,14 +233,15 @@ _DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 
 def digest(df: DataFrame, params: AudioParams | None = None) -> DataFrame:
-    """The contract's columns, of the stored bytes read back; media and tensors stay with the worker."""
+    """The contract's columns, of the stored bytes read back; ``feature`` ends with the number and hash of the tensors, which are built as in
+    ``audio_columns`` and read back.  Media and tensors stay with the worker."""
     p = params or AudioParams()
 
     def row(text: bytes) -> tuple:
-        media = store(payload(text), p.rate)
+        media, f, mel = stored(text, p)
         back, _ = load(media)
         sha = hashlib.sha256
-        return (len(text), len(back), sha(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), sha(media).hexdigest(), summary(features(media, p)))
+        return (len(text), len(back), sha(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), sha(media).hexdigest(), f"{summary(f)};{tensor_summary(mel, f, p)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches_up_to(batches, 1000):

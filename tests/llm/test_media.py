@@ -81,3 +81,11 @@ def test_blocks_do_not_matter(monkeypatch):
     monkeypatch.setattr(M, "_BLOCK", 97)
     parts = M.log_mel(x, 4000, M.AudioParams())
     assert np.allclose(whole[0], parts[0], atol=1e-4) and np.allclose(whole[1], parts[1], atol=1e-4)
+
+
+def test_digest_covers_the_stored_tensors(spark):
+    df = spark.createDataFrame(list(enumerate(["speech " * 900, None, "a"])), "doc_id long, text string")
+    stored = {r.doc_id: bytes(r.mel) for r in M.audio_columns(df).collect()}
+    for r in M.digest(df).collect():
+        n = pa.ipc.open_stream(stored[r.doc_id]).read_all().num_rows
+        assert r.feature.endswith(f";tensors={n};tensors_crc32={zlib.crc32(stored[r.doc_id])}")
