@@ -43,7 +43,8 @@ class WordEncoder:
 
     The tokenizer never joins what white space parts, so a text's ids are those of its words.  Words that repeat are
     encoded once, and so are their parts (letters, digits, marks), which repeat more; a full memory is emptied.  Words
-    outside plain Latin go through the whole tokenizer.
+    outside plain Latin, and words that hold the string of a special token, go through the whole tokenizer: as it does by
+    default, it reads that string as the special token.
     """
 
     def __init__(self, path: str):
@@ -53,12 +54,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known = common.Memory(CACHE_WORDS)
         self.parts: dict[str, bytes] = {}
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+            written = json.load(f)
+        split = written["pre_tokenizer"]["pretokenizers"][0]
+        special = [t["content"] for t in written["added_tokens"]]
+        if any(_SPACE.search(t) for t in special):
+            raise ValueError("special tokens without white space are needed")
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.letters = dict(enumerate(byte_letters()))
 
@@ -79,7 +84,7 @@ class WordEncoder:
     def word(self, w: str) -> bytes:
         if w.isascii() and w.isalpha():
             return self.part(w.lower())
-        if _PLAIN(w):  # composed letters whose lower case is one step
+        if _PLAIN(w) and not self.special(w):  # composed letters whose lower case is one step
             return b"".join(map(self.part, self.pattern.findall(w.lower())))
         ids = self.tokenizer.encode(w, add_special_tokens=False).ids
         return b"".join([self.packed[i] for i in ids])

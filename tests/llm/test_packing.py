@@ -12,15 +12,16 @@ public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
 
 
+TOKENIZER = tokenizers.Tokenizer.from_file(PATH)
+
+
 def reference_ids(text):
-    t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def docs():
     r = random.Random(4)
-    words = ["Hello", "it's", "we'll", "über", "ÀÉ", "é", "1234", "x=1;", "<|endoftext|>", "日本語", "a\x1cb", "a b", " ", "''", "'s", "ſ", "İ", "́"]
+    words = ["Hello", "it's", "we'll", "über", "ÀÉ", "é", "1234", "x=1;", "<|endoftext|>", "a<|endoftext|>b", "<|startoftext|>é", "<|EndOfText|>", "<|", "日本語", "a\x1cb", "a b", " ", "''", "'s", "ſ", "İ", "́"]
     out = ["".join(r.choice(words) + r.choice([" ", "  ", "\n", "\t", "", "\x0b", "\x1d"]) for _ in range(r.randrange(0, 60))) for _ in range(120)]
     return out + ["", None, "word " * 5000, "x" * 3000, out[0], out[0]]
 
@@ -91,5 +92,21 @@ def test_placement_is_the_cheapest():
         assert cost(at) == min(map(cost, levels))
 
 
+def test_special_tokens_are_read_as_the_library_reads_them():
+    encode = P.encoder(PATH).encode
+    for t in ("<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext |>", "é<|endoftext|>é"):
+        assert list(np.frombuffer(encode([t])[0], "<u4")) == reference_ids(t)[:-1]
+    assert list(np.frombuffer(encode(["<|endoftext|>"])[0], "<u4")) == [49407]
+
+
+def test_placement_decides_how_often_documents_are_cut():
+    """Sum of squares cuts fewer documents than filling windows one after another; without padding either way."""
+    r = random.Random(12)
+    lengths = [min(2047, int(r.lognormvariate(5.5, 1))) + 1 for _ in range(4000)]
+    pieces = len(P.pack_lengths(lengths, 2048))
+    in_a_row = len(lengths) + sum(lengths) // 2048  # a cut at every window's end, but for lucky ends
+    assert pieces - len(lengths) < 0.25 * (in_a_row - len(lengths))
+
+
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
