@@ -8,6 +8,8 @@ stay as they are.  Two trees use this:
   characters as the pattern looks ahead; once a new match begins where one of the right half begins, all later ones agree.
 * ``encode_piece``: the merges inside one match.  A sequence of tokens is the encoding of its bytes if every
   neighbouring pair is the encoding of its own bytes, so a window is wide enough when the pairs at its two rims are.
+  Windows of a run in which every join moves all tokens would be as long as the run; once a match's windows add up to a
+  quarter of its length, it is merged in one go with a heap, so that no match costs more than a small multiple of n log n.
 
 Decoding concatenates up the same tree.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -28,6 +31,7 @@ from . import common
 
 LEAF_CHARS = 1 << 14
 LEAF_BYTES = 24
+HEAP_BYTES = 96  # shorter strings merge faster by looking through the ranks
 LOOK_AHEAD = 3  # 'll needs two characters after the quote; a space run needs one
 CACHE_PIECES = 600_000
 
@@ -46,6 +50,8 @@ class Bpe:
 
     def merge(self, data: bytes) -> list[int]:
         """The merges in order of rank, leftmost first; for leaves and windows."""
+        if len(data) > HEAP_BYTES:
+            return self.merge_long(data)
         get, none = self.rank.get, 1 << 30
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -59,6 +65,47 @@ class Bpe:
                 ranks[i] = get(parts[i] + parts[i + 1], none)
         return [self.rank[p] for p in parts]
 
+    def merge_long(self, data: bytes) -> list[int]:
+        """The same with a heap of (rank, place) and linked parts."""
+        n, rank = len(data), self.rank.get
+        end = list(range(1, n + 1))  # of the part that begins here; 0: no part begins here any more
+        before = list(range(-1, n - 1))
+        heap = [r * n + i for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
+        current = dict(map(reversed, map(divmod, heap, itertools.repeat(n))))  # place: rank of its pair
+        while heap:
+            r, i = divmod(pop(heap), n)
+            if current.get(i) != r:
+                continue
+            middle = end[i]
+            stop = end[i] = end[middle]
+            end[middle] = 0
+            current.pop(middle, None)
+            if stop < n:
+                before[stop] = i
+                new = rank(data[i : end[stop]])
+            else:
+                new = None
+            if new is None:
+                del current[i]
+            else:
+                current[i] = new
+                push(heap, new * n + i)
+            left = before[i]
+            if left >= 0:
+                new = rank(data[left:stop])
+                if new is None:
+                    current.pop(left, None)
+                else:
+                    current[left] = new
+                    push(heap, new * n + left)
+        out, i = [], 0
+        while i < n:
+            out.append(self.rank[data[i : end[i]]])
+            i = end[i]
+        return out
+
     def stands(self, a: int, b: int) -> bool:
         """Whether the two tokens are the encoding of their bytes."""
         found = self.pairs.get((a, b))
@@ -68,26 +115,39 @@ class Bpe:
             found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """Encoding of two encoded strings put together."""
+    def join(self, left: list[int], right: list[int], room: list[int]) -> list[int] | None:
+        """Encoding of two encoded strings put together; None once the windows' bytes exceed ``room``."""
         if not left or not right or self.stands(left[-1], right[0]):
             return left + right
         width = 1
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            middle = self.merge(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
+            window = b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j]))
+            if len(window) > HEAP_BYTES:
+                room[0] -= len(window)
+                if room[0] < 0:
+                    return None
+            middle = self.merge(window)
             if (i == 0 or self.stands(left[i - 1], middle[0])) and (j == len(right) or self.stands(middle[-1], right[j])):
                 return left[:i] + middle + right[j:]
             width *= 2
 
     def encode_piece(self, data: bytes) -> list[int]:
+        room = [len(data) // 4]
+        found = self.reduce(data, room)
+        return self.merge(data) if found is None else found
+
+    def reduce(self, data: bytes, room: list[int]) -> list[int] | None:
+        """Leaves hold a power of two bytes, so that the tokens of a run of one character end where its leaves end."""
         token = self.rank.get(data)
         if token is not None:
             return [token]
         if len(data) <= LEAF_BYTES:
             return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        half = 1 << (len(data) - 1).bit_length() - 1
+        left = self.reduce(data[:half], room)
+        right = None if left is None else self.reduce(data[half:], room)
+        return None if right is None else self.join(left, right, room)
 
     # ------------------------------------------------------------ a text
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -43,6 +44,27 @@ def test_long_pieces(library):
         assert bpe.encode(t) == library.encode_ordinary(t)
 
 
+def test_very_long_pieces(library):
+    """A quarter of a megabyte in one match: runs, runs whose tokens don't end at powers of two, periods, and random letters."""
+    r = random.Random(4)
+    bpe = B.Bpe(PATH, public.PATTERN)
+    mega = 1 << 18
+    letters = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(mega))
+    for t in ("=" * mega, "a" * (mega - 7), " " + "-" * mega, "\u2500" * (mega // 3), "=-" * (mega // 2), letters, "A" * 1000 + letters[:100_000], " " * 10_000):
+        began = time.perf_counter()
+        assert bpe.encode(t) == library.encode_ordinary(t)
+        assert time.perf_counter() - began < 30
+
+
+def test_heap_agrees_with_search(monkeypatch):
+    r = random.Random(6)
+    bpe = B.Bpe(PATH, public.PATTERN)
+    monkeypatch.setattr(B, "HEAP_BYTES", 1 << 30)
+    for _ in range(600):
+        data = "".join(r.choice(["a", "b", "e", " ", "the", "=", "é", "ing"]) for _ in range(r.randrange(1, 70))).encode()
+        assert bpe.merge_long(data) == bpe.merge(data)
+
+
 def test_all_characters(library):
     bpe = B.Bpe(PATH, public.PATTERN)
     # characters that newer Unicode data than the library's may class otherwise are left out by their age
