@@ -75,6 +75,12 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(_documents(spark, sf_dir))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rules
+
+    return rules.ablation(rules.stored_ledger(_documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -87,10 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_secrets": op9_secrets,
         "op10_rules": op10_rules,
+        "rules_ablation": rules_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from . import rules, sharding
 
-    return {"op7_sharding": sharding.ORACLE_SQL, "op10_rules": rules.ORACLE_SQL}
+    return {"op7_sharding": sharding.ORACLE_SQL, "op10_rules": rules.ORACLE_SQL, "rules_ablation": rules.ABLATION_SQL}

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -143,14 +145,22 @@ def ablation(ledger_: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+def stored_ledger(df: DataFrame) -> DataFrame:
+    """The ledger of ``df``, written once; policies and ablations read it and no text."""
+    return common.write_table(ledger(df), "ledger")
+
+
 def digest(df: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The contract's columns of the ledger under ``policy``."""
-    return ledger(df).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes(policy).alias("kept"), "failed_bits"
+    """The contract's columns of the stored ledger under ``policy``; ``sole_bit`` is the rule without which a failed row would be kept,
+    0 if there is none."""
+    counted = F.col("failed_bits").bitwiseAND(F.lit(mask(policy)).cast("long"))
+    sole = F.when(F.bit_count(counted) == 1, counted).otherwise(0).cast("long")
+    return stored_ledger(df).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes(policy).alias("kept"), "failed_bits", sole.alias("sole_bit")
     )
 
 
-ORACLE_SQL = """
+_LEDGER_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, list_filter(string_split_regex(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w,
              list_filter(string_split(t, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS l FROM d),
@@ -170,6 +180,14 @@ b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_word
              + 8 * (100 * n_upper > 50 * n_letters)::BIGINT + 16 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
              + 32 * (word_chars > 40 * n_words)::BIGINT + 64 * (2 * n_letters < word_chars)::BIGINT
              + 128 * (100 * n_marks > 50 * n_words)::BIGINT + 256 * (word_chars < 2 * n_words)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits
+"""
+ORACLE_SQL = f"""{_LEDGER_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits,
+       CASE WHEN bit_count(failed_bits) = 1 THEN failed_bits ELSE 0 END::BIGINT AS sole_bit
 FROM b
 """
+ABLATION_SQL = f"""{_LEDGER_SQL}
+SELECT rule, count(*) FILTER (WHERE (failed_bits & bit) <> 0) AS n_failed, count(*) FILTER (WHERE failed_bits = bit) AS n_only,
+       count(*) FILTER (WHERE (failed_bits & ~bit) = 0) AS n_kept_without, count(*) FILTER (WHERE failed_bits = 0) AS n_kept
+FROM b CROSS JOIN (VALUES {", ".join(f"('{r}', {1 << i}::BIGINT)" for r, i in BIT.items())}) AS rules(rule, bit) GROUP BY rule
+"""
