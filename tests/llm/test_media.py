@@ -89,3 +89,30 @@ def test_digest_covers_the_stored_tensors(spark):
     for r in M.digest(df).collect():
         n = pa.ipc.open_stream(stored[r.doc_id]).read_all().num_rows
         assert r.feature.endswith(f";tensors={n};tensors_crc32={zlib.crc32(stored[r.doc_id])}")
+
+
+def test_log_mel_against_loops():
+    import cmath
+    import math
+
+    p = M.AudioParams()
+    rate, size, hop = 4000, 100, 40
+    x = np.random.default_rng(3).standard_normal(730).astype(np.float32)
+    mel, db = M.log_mel(x, rate, p)
+    padded = [float(v) for v in x] + [0.0] * 200
+    frames = 1 + -(-(len(x) - size) // hop)
+    assert mel.shape == (frames, p.n_mels) and db.shape == (frames,)
+    top = 2595 * math.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** (top * k / (p.n_mels + 1) / 2595) - 1) for k in range(p.n_mels + 2)]
+    for i in range(frames):
+        frame = padded[i * hop : i * hop + size]
+        assert abs(10 * math.log10(sum(v * v for v in frame) / size + 1e-9) - db[i]) < 1e-3
+        shaped = [v * (0.5 - 0.5 * math.cos(2 * math.pi * n / (size - 1))) for n, v in enumerate(frame)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * k * n / p.n_fft) for n, v in enumerate(shaped))) ** 2 for k in range(p.n_fft // 2 + 1)]
+        for m in range(p.n_mels):
+            low, mid, high = edges[m : m + 3]
+            energy = 0.0
+            for k, v in enumerate(power):
+                f = k * rate / p.n_fft
+                energy += v * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid)))
+            assert abs(math.log(energy + 1e-6) - mel[i, m]) < 5e-3
