@@ -13,6 +13,7 @@ a run begins, or where the last match ended.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +33,14 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 WIDE = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{{dot\}}) ?[A-Za-z0-9-]++)++",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++(?: ?(?:\[at\]|\(at\)|\{{at\}}) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{{dot\}}) ?[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,}+",
-    "phone": r"(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "phone": r"(?<![0-9.+-])(?:(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9]{0,2}(?:[ ./-][0-9]{2,7}){1,4}|0[1-9][0-9]{1,3}[ /-][0-9]{3,8})(?![0-9.-])",
 }
 _DIGIT = "[0-9]"
 _GUARD = {
-    "email": (lambda t: F.contains(t, F.lit("@")), lambda t: t.rlike(r"[\[({]at[\])}]")),
+    "email": (lambda t: F.contains(t, F.lit("@")), lambda t: t.rlike(r"[\[({]at[\])}]| dot ")),
     "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda t: t.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")),
     "card": (lambda t: t.rlike(_DIGIT), lambda t: t.rlike(_DIGIT)),
     "phone": (lambda t: F.contains(t, F.lit("+")), lambda t: t.rlike(_DIGIT)),
@@ -57,22 +58,52 @@ CUES = {
 AGAINST = "version|isbn|issn|doi|section|build|release|figure|invoice|order|ticket"
 
 
+_CHUNK = 256
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], start: int) -> Column:
+    """Running results of an associative ``op`` along an array of int, from ``start``.
+
+    Arrays grow by copying, so stretches of _CHUNK values are worked out apart and then joined: a long array costs little more
+    than its length.
+    """
+    grown = "struct<last:int,all:array<int>>"
+
+    def scan(array: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+        """``step`` gives the next state and what is noted of it."""
+
+        def one(acc: Column, x: Column) -> Column:
+            last, noted = step(acc["last"], x)
+            return F.struct(last.alias("last"), F.concat(acc["all"], F.array(noted)).alias("all")).cast(grown)
+
+        return F.aggregate(array, F.struct(F.lit(start).alias("last"), F.array().cast("array<int>").alias("all")).cast(grown), one)
+
+    def chunked(v: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(_CHUNK))
+        return F.transform(first, lambda i: scan(F.slice(v, i, _CHUNK), lambda a, x: (op(a, x),) * 2))
+
+    def joined(chunks: Column) -> Column:
+        before = scan(chunks, lambda a, c: (op(a, c["last"]), a))["all"]
+        return F.flatten(F.zip_with(chunks, before, lambda c, x: F.transform(c["all"], lambda y: op(x, y))))
+
+    return let(let(values, chunked), joined)
+
+
 def spans(text: Column, pattern: str, guard: Column) -> Column:
     """Matches of ``pattern`` in order: array of struct<m, s, e, before, after> in code points."""
     empty = F.array().cast("array<struct<m:string,s:int,e:int,before:string,after:string>>")
 
     def build(both: Column) -> Column:
         pieces, found = both["p"], both["m"]
+        at = lambda x, i: F.element_at(x, i)
+        numbers = F.sequence(F.lit(1), F.size(found))
+        step = lambda i: F.char_length(at(pieces, i)) + F.when(i > 1, F.char_length(at(found, F.greatest(i - 1, F.lit(1))))).otherwise(0)
 
-        def step(acc: Column, i: Column) -> Column:
-            piece, m = F.element_at(pieces, i), F.element_at(found, i)
-            start = acc["at"] + F.char_length(piece)
-            end = start + F.char_length(m)
-            one = F.struct(m.alias("m"), start.alias("s"), end.alias("e"), F.right(piece, F.lit(40)).alias("before"), F.left(F.element_at(pieces, i + 1), F.lit(2)).alias("after"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def one(starts: Column, i: Column) -> Column:
+            m, s = at(found, i), at(starts, i)
+            return F.struct(m.alias("m"), s.alias("s"), (s + F.char_length(m)).alias("e"), F.right(at(pieces, i), F.lit(40)).alias("before"), F.left(at(pieces, i + 1), F.lit(2)).alias("after"))
 
-        begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), begin, step)["out"]).otherwise(empty)
+        return let(running(F.transform(numbers, step), lambda a, b: a + b, 0), lambda starts: F.transform(numbers, lambda i: one(starts, i)))
 
     # pieces are split off only where there is a match
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -80,6 +111,27 @@ def spans(text: Column, pattern: str, guard: Column) -> Column:
     return F.when(guard, built).otherwise(empty)
 
 
+def apart(base: Column, wide: Column) -> Column:
+    """``base`` spans and those of ``wide`` that meet none of them.
+
+    In order of their starts, a span meets one before it if that one's end lies behind its start, and one after it if that
+    one's start lies before its end.
+    """
+
+    def judged(every: Column) -> Column:
+        ends = running(F.transform(every, lambda u: F.when(u["x"]["base"], u["x"]["e"]).otherwise(-1)), F.greatest, -1)
+        starts = F.reverse(running(F.reverse(F.transform(every, lambda u: F.when(u["x"]["base"], u["at"]).otherwise(_FAR))), F.least, _FAR))
+        flags = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+        both = F.zip_with(every, flags, lambda u, f: F.struct(u["x"].alias("x"), (u["x"]["base"] | ((f["e"] <= u["at"]) & (f["s"] >= u["x"]["e"]))).alias("kept")))
+        return F.transform(F.filter(both, lambda u: u["kept"]), lambda u: u["x"])
+
+    ordered = F.sort_array(F.transform(F.concat(base, wide), lambda x: F.struct(x["s"].alias("at"), (~x["base"]).alias("w"), x.alias("x"))))
+    return F.when(F.size(wide) > 0, let(ordered, judged)).otherwise(base)
+
+
+_FAR = (1 << 31) - 1
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -121,7 +173,9 @@ def votes(kind: str, x: Column, base: bool) -> list[Column]:
     if base:
         form = F.lit(1)
     elif kind == "card":
-        form = vote(F.char_length(digits(m)).between(13, 15) & luhn(digits(m)), ~luhn(digits(m)))
+        n = F.char_length(digits(m))
+        valid = F.when(n.between(13, 19), luhn(digits(m))).otherwise(False)  # long runs of digits are no cards and aren't summed up
+        form = vote(valid & (n <= 15), ~valid)
     else:
         form = F.lit(0)
     if kind == "email":
@@ -132,7 +186,7 @@ def votes(kind: str, x: Column, base: bool) -> list[Column]:
         known = vote(m.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), never)
     else:
         code = "|".join(sorted(DIALLING, key=lambda c: (-len(c), c)))
-        known = vote(m.rlike(rf"^\+(?:{code})") | m.rlike(r"^\(?[2-9][0-9]{2}"), m.rlike(r"^\+?0"))
+        known = vote(m.rlike(rf"^(?:\+|00)(?:{code})") | m.rlike(r"^\(?[2-9][0-9]{2}"), m.rlike(r"^\+0|^\(?[01][0-9]{2}[). -]+[0-9]{3}[ .-][0-9]{4}$"))
     cue = vote(before.rlike(rf"(?:{CUES[kind]})[^.\n]*$"), before.rlike(rf"(?:{AGAINST})[^.\n]*$"))
     around = vote(before.rlike(r"(?:^|[\s,;:(<\[|])$") & x["after"].rlike(r"^(?:$|[\s,;:)>\]|!?.])"), before.rlike(r"[0-9A-Za-z_/=-]$") | x["after"].rlike("^[0-9A-Za-z_/=]"))
     return [form, known, cue, around]
@@ -156,16 +210,12 @@ def candidates(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     """``id_`` and ``found``: all spans of a row with their kind (number in KINDS), place and votes; base ones flagged."""
     docs = df.select(F.col(id_), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     t = F.col("_text")
-    parts: list[Column] = []
     for kind in KINDS:
         guard, wide_guard = (g(t) for g in _GUARD[kind])
         base = _sound_only(kind, spans(t, BASE[kind], guard))
         docs = docs.withColumn(f"_b_{kind}", _marked(kind, base, True)).withColumn(f"_w_{kind}", _marked(kind, spans(t, WIDE[kind], wide_guard), False))
-    every = F.concat(*[F.col(f"_b_{k}") for k in KINDS])
-    parts = [every]
-    for kind in KINDS:
-        parts.append(F.filter(F.col(f"_w_{kind}"), lambda x: ~F.exists(every, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
-    return docs.select(id_, F.concat(*parts).alias("found"))
+    base, wide = (F.concat(*[F.col(f"_{p}_{k}") for k in KINDS]) for p in "bw")
+    return docs.select(id_, base.alias("_base"), wide.alias("_wide")).select(id_, apart(F.col("_base"), F.col("_wide")).alias("found"))
 
 
 # ---------------------------------------------------------------- the models, on counted vote patterns
@@ -187,35 +237,37 @@ class SpanModel:
 
 
 #: Belief about a labeller before any counts: chances of the votes -1, 0, 1 if the span is none, and if it is one; and its
-#: weight as a share of the spans.  A format check that fails is hard evidence, as a checksum is.
+#: weight as a share of the spans.
 PRIOR = ((0.6, 0.3, 0.1), (0.1, 0.3, 0.6))
-FORMAT_PRIOR = ((0.85, 0.1, 0.05), (0.01, 0.19, 0.8))
-WEIGHTS = (0.5, 0.05, 0.05, 0.05)
+WEIGHT = 0.05
+FAILED = 0.01  # chance of a span whose format check fails, as a checksum leaves little doubt
 
 
 def fit(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> SpanModel:
     """From (kind, votes, count): EM per kind, then a logistic classifier on the posteriors.
 
-    The counts start from the majority of the votes, and with failed formats as none; PRIOR is part of every table, so kinds
-    that are not there get weights too.
+    The counts start from the majority of the votes.  Spans whose format check fails are known to be none and stay so in every
+    round; they and the others tell how far each labeller can be trusted.  PRIOR is a small part of every table, so kinds that are
+    not there get weights too.
     """
     weights, reliability = [], {}
     n = len(LABELLERS)
     for kind in range(1, len(KINDS) + 1):
         own = [(v, c) for k, v, c in patterns if k == kind]
-        q = [0.02 if v[0] < 0 else 0.9 if sum(v) > 0 else 0.1 for v, _ in own]
+        q = [FAILED if v[0] < 0 else 0.9 if sum(v) > 0 else 0.1 for v, _ in own]
         spans_ = sum(c for _, c in own)
         table = [[[1 / 3] * 3 for _ in range(2)] for _ in range(n)]
         for _ in range(rounds if own else 0):
             prior = (1 + sum(p * c for p, (_, c) in zip(q, own, strict=True))) / (2 + sum(c for _, c in own))
             for j in range(n):
                 for t in (0, 1):
-                    belief = (PRIOR if j else FORMAT_PRIOR)[t]
-                    mass = [0.1 + WEIGHTS[j] * spans_ * b for b in belief]
+                    mass = [0.1 + WEIGHT * spans_ * b for b in PRIOR[t]]
                     for p, (v, c) in zip(q, own, strict=True):
                         mass[v[j] + 1] += c * (p if t else 1 - p)
                     table[j][t] = [m / sum(mass) for m in mass]
             for i, (v, _) in enumerate(own):
+                if v[0] < 0:
+                    continue
                 odds = math.log(prior / (1 - prior)) + sum(math.log(table[j][1][v[j] + 1] / table[j][0][v[j] + 1]) for j in range(n))
                 q[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         reliability[kind] = table

@@ -60,6 +60,46 @@ def test_classifier_adds_what_labellers_support(spark):
     assert got[40].n_email == 0
 
 
+def test_added_spans_on_planted_data(spark):
+    """Spans that only the method can find, with decoys of like form: recall and precision of what it adds."""
+    r = random.Random(14)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    word = lambda: pick("abcdefghij", r.randrange(3, 9))
+    prose = lambda: " ".join(word() for _ in range(r.randrange(4, 12)))
+    digits = lambda n: pick("0123456789", n)
+
+    def amex():
+        d = "37" + digits(12)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    good = [
+        lambda: ("please write to", f"{word()} [at] {word()} [dot] org"),
+        lambda: ("contact me by mail", f"{word()} at {word()} dot com"),
+        lambda: ("call", f"0049 30 {pick('123456789', 7)}"),
+        lambda: ("my phone is", f"{pick('23456789', 3)}-{pick('23456789', 3)}-{digits(4)}"),
+        lambda: ("Telefon", f"0171 {pick('123456789', 7)}"),
+        lambda: ("paid by card", amex()),
+        lambda: ("from the server", ":".join(pick("0123456789abcdef", 4) for _ in range(8))),
+    ]
+    bad = [
+        lambda: ("in section", f"{pick('01', 1)}{digits(2)}-{digits(3)}-{digits(4)}"),
+        lambda: ("the invoice", next(d for d in iter(lambda: "1" + digits(14), None) if not luhn(d))),
+        lambda: ("as version", f"x{digits(3)}-{digits(3)}-{digits(4)}y"),
+    ]
+    docs, want = [], []
+    for i in range(600):
+        cue, span = r.choice(good if r.random() < 0.5 else bad)() if i % 3 == 0 else ("", "")
+        base = f" mail a{i}@b.com and phone +1 (555) 010-{digits(4)}" if i % 3 == 1 else ""
+        docs.append(f"{prose()} {cue} {span} {prose()}{base}")
+        want.append((docs[-1].index(span), len(span)) if cue in {"please write to", "contact me by mail", "call", "my phone is", "Telefon", "paid by card", "from the server"} else None)
+    got = {x.doc_id: [s for s in x.pii if not s.base] for x in P.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    planted = [i for i, w in enumerate(want) if w]
+    right = sum(any(s.s <= want[i][0] and s.e >= want[i][0] + want[i][1] for s in got[i]) for i in planted)
+    added = sum(map(len, got.values()))
+    assert len(planted) > 80 and right >= 0.9 * len(planted), (right, len(planted))
+    assert right >= 0.9 * added, (right, added)
+
+
 def test_native_and_empty(spark):
     out = P.digest(spark.createDataFrame([], "doc_id long, text string"))
     assert out.collect() == []
