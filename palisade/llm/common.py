@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import sys
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -34,13 +36,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/palisade/{uuid.uuid4().hex}/{name}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def temporaries() -> Iterator[None]:
+    """Tables that ``write_table`` makes meanwhile are deleted at the end; what is to stay has been written with ``stays`` by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for table in _SCOPES.pop():
+            drop_table(table)  # no matter if it has gone before
+
+
+def write_table(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palisade_path = path
+    if _SCOPES and not stays:
+        _SCOPES[-1].append(out)
     return out
 
 
@@ -62,6 +80,18 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)  # the cleaner has a thread of its own
 
 
+def attach(rows: DataFrame, dim: DataFrame, key: str, total: int, most: int = 2000, least: int = 256) -> DataFrame:
+    """``rows`` left-joined with ``dim``, which has a row a key and ``n``, the key's number of ``rows``; they are ``total`` in all.
+
+    A key of more than ``least`` rows and of more than one in ``most`` of all is joined by broadcast, so that its rows stay where
+    they lie; there are fewer than ``most`` such keys, whatever the data.  The other rows are shuffled.
+    """
+    bar = max(least, total // most)
+    hot, other = dim.where(F.col("n") > bar).drop("n"), dim.where(F.col("n") <= bar).drop("n")
+    light = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(light)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below ``df`` as the optimizer knows them (no job runs)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

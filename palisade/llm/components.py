@@ -14,23 +14,26 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` (smallest node of its component) for every node of ``edges`` (u long, v long).
+    """``node``, ``root`` (smallest node of its component) for every node of ``edges`` (u, v of one type that has an order).
 
     Alternating large-star and small-star steps: each round hangs the larger neighbours of a node, then its
     smaller ones, below the smallest.  The rounds grow with the logarithm of the longest chain.  Each round's
-    edges are written to the shared folder; hubs are joined with one row a key, which adaptive execution can split.
+    edges are written to the shared folder; a hub's edges are not gathered: its smallest neighbour is found by partial
+    aggregation and brought to them by ``attach``.
     """
     current = common.write_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = common.attach(both.where("v > u"), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = common.write_table(large.distinct(), "stars")
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hung = common.attach(large, small, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         following = common.write_table(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _state(following)
         common.drop_table(current)
+        common.drop_table(large)
         current = following
         if after == state:
             break

@@ -175,12 +175,27 @@ def near_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle:
     component; a component whose ids are all null has the id null; an empty table gives an empty table.
     """
     marked = common.write_table(fingerprints(row_keys(df, id_, text), [id_, *KEYS], text, shingle), "fingerprints")
-    nodes = common.write_table(marked.groupBy("fp").agg(F.min(id_).alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), nodes.count(), distance))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
-    return marked.join(named, F.col("fp") == F.col("_fp"), "left").select(id_, "fp", "component_id", "root", *KEYS)
+    nodes = _nodes(marked, "fp", id_)
+    return _named(marked, nodes, "fp", id_, lambda n: components(links(nodes.select("fp"), n, distance)))
+
+
+def _nodes(marked: DataFrame, key: str, id_: str) -> DataFrame:
+    """``key``, its smallest id and its number of rows."""
+    return common.write_table(marked.groupBy(key).agg(F.min(id_).alias("least"), F.count("*").alias("n")), "nodes")
+
+
+def _named(marked: DataFrame, nodes: DataFrame, key: str, id_: str, link: Callable[[int], DataFrame]) -> DataFrame:
+    """Rows with the components of their nodes; ``link(number of nodes)`` gives those of the nodes that have links.
+
+    The rows of a node and the nodes of a component may be many: sizes are counted first, and large ones are not gathered.
+    """
+    size = nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    roots = link(size["nodes"]).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, F.col(key) == F.col("_node"), "left").select(key, "least", F.coalesce("root", key).alias("root"), F.col("n").alias("_n"))
+    rooted = common.write_table(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = common.attach(rooted, least, "root", size["nodes"]).select(key, "component_id", "root", F.col("_n").alias("n"))
+    return common.attach(marked, common.write_table(named, "named"), key, size["rows"]).select(id_, key, "component_id", "root", *KEYS)
 
 
 def hex16(column):
@@ -232,7 +247,7 @@ def alike(common_: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -
     return 5 * common_ >= 4 * (a + b - common_)
 
 
-def trees(node: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def trees(node: list, sets: list[np.ndarray]) -> list[tuple]:
     """Spanning forest of the links among ``node``, by the exact similarity of their sets (sorted, distinct)."""
     if len(node) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
@@ -262,7 +277,8 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
 
     Equal sets of shingles are one node.  Keys of the smallest hashes bring candidates together, and the exact Jaccard similarity of
     the sets (of 32-bit hashes) decides.  Only nodes that meet others are dealt with their sets, and to one key of those that have
-    the same nodes.  Nulls, empty texts, equal rows and empty tables are treated as in ``near_groups``.
+    the same nodes.  A node's name is a hash of 128 bits of its shingles' hashes.  Nulls, empty texts, equal rows and empty tables
+    are treated as in ``near_groups``.
     """
     keyed = row_keys(df, id_, text)
     fields = [keyed.schema[c] for c in (id_, *KEYS)]
@@ -272,12 +288,12 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
         common.held("fingerprints")
         for batch in common.batches_up_to(batches, 1000):
             found = [shingle_hashes(t, shingle) for t in common.text_bytes(batch.column(text))]
-            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64).view(np.int64)
+            node = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
             keys = pa.array(list(map(bands, found)), pa.list_(pa.int64()))
             sets = pa.array([np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_, *KEYS)), pa.array(node), keys, sets], [id_, *KEYS, "node", "bands", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_, *KEYS)), node, keys, sets], [id_, *KEYS, "node", "bands", "hashes"])
 
-    schema = T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("hashes", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("hashes", T.BinaryType())])
     marked = common.write_table(keyed.mapInArrow(sign, schema), "shingles")
     met = marked.select("node", "bands").distinct().select(F.explode("bands").alias("key"), "node")
     members = F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
@@ -298,31 +314,29 @@ def similar_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shing
                 nodes.append(node)
                 sets.append(np.frombuffer(raw, "<u4"))
             if found:
-                yield _signed(found)
+                yield _pairs(found)
         if len(nodes) > 1 and (found := trees(nodes, sets)):
-            yield _signed(found)
+            yield _pairs(found)
 
-    roots = components(dealt.mapInArrow(meet, "u long, v long"))
-    rooted = marked.select(id_, *KEYS, "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    rooted = rooted.select(id_, *KEYS, "node", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min(id_).alias("component_id")).withColumnRenamed("root", "_root")
-    return rooted.join(least, F.col("root") == F.col("_root")).select(id_, "node", "component_id", "root", *KEYS)
+    rows = marked.select(id_, *KEYS, "node")
+    return _named(rows, _nodes(rows, "node", id_), "node", id_, lambda n: components(dealt.mapInArrow(meet, "u binary, v binary")))
 
 
-def _signed(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(found, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["u", "v"])
 
 
 def keep_first(df: DataFrame, groups: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each component of ``groups``: the one of smallest id, null ids last; of equal ids and of
     equal rows one.
 
-    The texts are shuffled once, to meet the chosen rows' keys, and equal rows are told apart where they lie.
+    Equal rows are reduced to one first, within each task before any are shuffled; the texts are shuffled once, to meet
+    the chosen rows' keys.
     """
     order = F.struct(F.col(id_).isNull(), F.col(id_), *KEYS)
     chosen = groups.groupBy("root").agg(F.min(order).alias("row")).select(*[F.col(f"row.{k}").alias(f"{k}_") for k in KEYS])
     keyed = df.withColumns({"_h1": F.xxhash64(id_, text), "_h2": F.xxhash64(text, id_)})
-    kept = keyed.join(chosen, (F.col("_h1") == F.col("_h1_")) & (F.col("_h2") == F.col("_h2_")), "left_semi")
     place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("_h1"))
-    return kept.withColumn("_place", place).where("_place = 1").select(*df.columns)
+    single = keyed.withColumn("_place", place).where("_place = 1")
+    kept = single.join(chosen, (F.col("_h1") == F.col("_h1_")) & (F.col("_h2") == F.col("_h2_")), "left_semi")
+    return kept.select(*df.columns)
