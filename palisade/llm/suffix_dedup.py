@@ -10,18 +10,20 @@ is removed.  All decisions are made on the input texts.
    neighbours, and neighbours that share ``window`` bytes are repeats within the shard.
 2. For repeats across shards, a shard's windows are gathered into *runs*: neighbouring windows whose smallest
    hashed ``gram``-byte string is the same.  Equal windows always have the same smallest gram, so only runs
-   with the same gram hash can hold equal windows.  A run is one entry (gram hash, hash of all its bytes) of the
-   shard's sorted list; the list is cut by binary search into ranges of the hash space, and a range's lists from
+   with the same gram can hold equal windows.  A shard sends the suffixes that begin at such grams, in the order of
+   their hashed grams: an entry has the gram's hash and the hash of the run's bytes, or a mark where the shard has several
+   runs of the gram.  The list is cut by binary search into ranges of the hash space, and a range's lists from
    all shards are merged by binary search.  Runs alike in both hashes are repeats as they are.
-3. Runs that share the gram but differ in bytes (edges of a copied passage) send the hashes of their windows,
-   in the same sorted, range-cut form, and these are merged by binary search too.
+3. Runs that share the gram but differ in bytes (edges of a copied passage, lines with various surroundings) send the
+   hashes of their windows, in the same sorted, range-cut form, and these are merged by binary search too.
 4. The verdicts return to the shards, which cut the texts.
 
-Nothing is gathered per document, per gram or per copy: a shard sends a string once however often it holds it,
-and ranges split an even hash space.  The texts travel compressed, twice, to meet the verdicts of their shard.
-Shards and lists are written to the shared folder, so a lost executor costs its own tasks only.
+Nothing is gathered per document or per copy: a shard sends a gram and a window once however often it holds them, so a line
+of a third of all documents is one entry a shard, and ranges split an even hash space.  The texts travel compressed, twice, to
+meet the verdicts of their shard.  Shards and lists are written to the shared folder, so a lost executor costs its own tasks only.
 
-Window hashes have 64 bits; two different windows among n that reach step 3 collide with chance n*n/2**65.
+The suffixes themselves don't travel: 200 bytes for each byte of text would.  Runs match by 128 bits of hashes and windows by 96;
+two different windows among n that reach step 3 collide with chance n*n/2**97.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from . import common
 
 SEPARATOR = 0xFF  # never a byte of UTF-8
 _ODD = 0x9E3779B97F4A7C15
+_ODD_TOO = 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
 
@@ -144,12 +147,12 @@ def repeated_starts(text: np.ndarray, window: int) -> np.ndarray:
 class Hashes:
     """Polynomial hashes of all substrings of one length; each byte has a fixed random value."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, base: int = _ODD):
         n = len(text)
         value = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=_U) * _U(2) + _U(1)
-        self.back = _powers(pow(_ODD, -1, 2**64), n + 1)
+        self.back = _powers(pow(base, -1, 2**64), n + 1)
         self.sums = np.zeros(n + 1, _U)
-        np.cumsum(value[text] * _powers(_ODD, n), out=self.sums[1:])
+        np.cumsum(value[text] * _powers(base, n), out=self.sums[1:])
 
     def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -202,7 +205,7 @@ def runs(text: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     past = np.concatenate([edges[1:], [n]])
     keep = whole[edges]
     start, past = edges[keep], past[keep]
-    body = hashes.of(start, past - 1 + window) + (past - start).astype(_U)
+    body = np.maximum(hashes.of(start, past - 1 + window) + (past - start).astype(_U), _U(1))
     # the smallest of many hashes is a small one: mixed again, they fill the ranges evenly
     return start, past, _mix(smallest[start] + _U(_ODD)), body, hashes
 
@@ -243,26 +246,60 @@ def _neighbours(same_as_before: np.ndarray) -> np.ndarray:
 
 
 REPEATED, SENDS = 1, 2
+SEVERAL = 0  # instead of a body: the shard has several
+
+
+def entries(gram: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's sorted distinct grams, each with its one body or SEVERAL."""
+    by = _sorted_distinct(gram, body)
+    g, b = gram[by], body[by]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    count = np.diff(np.concatenate([first, [len(g)]]))
+    return g[first], np.where(count > 1, _U(SEVERAL), b[first])
 
 
 def judge_runs(gram: np.ndarray, body: np.ndarray) -> np.ndarray:
-    """Flags of runs that are sorted by gram hash: REPEATED as they are; SENDS its windows (the first of each body
-    where a gram has several bodies)."""
+    """Flags of the shards' entries, sorted by gram hash: REPEATED as they are; SENDS its windows (where a gram has several
+    bodies: the first of each body, and every shard with SEVERAL)."""
     out = np.zeros(len(gram), np.uint8)
     shared = np.flatnonzero(_neighbours(gram[1:] == gram[:-1])) if len(gram) else np.zeros(0, np.int64)
     if not len(shared):
         return out
     by = shared[np.lexsort((body[shared], gram[shared]))]
     g, b = gram[by], body[by]
-    same_gram, same_body = g[1:] == g[:-1], (g[1:] == g[:-1]) & (b[1:] == b[:-1])
+    same_gram = g[1:] == g[:-1]
+    same_body = same_gram & (b[1:] == b[:-1]) & (b[1:] != SEVERAL)
     out[by[_neighbours(same_body)]] |= REPEATED
     new_body = np.concatenate([[True], ~same_body])
     group = np.cumsum(np.concatenate([[True], ~same_gram])) - 1
-    several = np.bincount(group[new_body])[group] > 1
+    several = (np.bincount(group[new_body]) > 1)[group]
     out[by[new_body & several]] |= SENDS
     return out
 
 
+def judge_windows(key: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """True for windows, sorted by ``key``, that another one equals in ``key`` and ``more``."""
+    out = np.zeros(len(key), bool)
+    shared = np.flatnonzero(_neighbours(key[1:] == key[:-1])) if len(key) else np.zeros(0, np.int64)
+    by = shared[np.lexsort((more[shared], key[shared]))]
+    if len(by):
+        k, m = key[by], more[by]
+        out[by[_neighbours((k[1:] == k[:-1]) & (m[1:] == m[:-1]))]] = True
+    return out
+
+
+def held_in(key: np.ndarray, more: np.ndarray, some: np.ndarray, some_more: np.ndarray) -> np.ndarray:
+    """Whether each (key, more) is one of ``some``, which are sorted and distinct."""
+    out = np.zeros(len(key), bool)
+    if len(some):
+        at = np.searchsorted(some, key)
+        longest = int(np.unique(some, return_counts=True)[1].max())
+        for k in range(longest):
+            place = np.minimum(at + k, len(some) - 1)
+            out |= (some[place] == key) & (some_more[place] == more)
+    return out
+
+
 # ---------------------------------------------------------------- the operator
 
 _LIST = "shard long, slot int, keys binary, more binary"
@@ -346,10 +383,10 @@ def remove_repeats(
             for at, piece in _pieces(data, window, shard_bytes):
                 own[at : at + len(piece)] |= repeated_starts(piece, window)
                 _, _, least, body, _ = runs(piece, window, gram)
-                by = _sorted_distinct(least, body)
-                cuts = cut_ranges(least[by], bits)
+                least, body = entries(least, body)
+                cuts = cut_ranges(least, bits)
                 for r in np.flatnonzero(np.diff(cuts)).tolist():
-                    part = by[cuts[r] : cuts[r + 1]]
+                    part = slice(cuts[r], cuts[r + 1])
                     lists.append((r, least[part].tobytes(), body[part].tobytes()))
             yield pa.RecordBatch.from_pydict(
                 {
@@ -390,8 +427,8 @@ def remove_repeats(
         own = np.unpackbits(np.frombuffer(_unzip(group.column("own")[0].as_py()), np.uint8), count=len(data)).astype(bool)
         return table, data, own
 
-    def judged(verdict: pa.Table, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Hashes]]:
-        """By piece: its place, its runs and their flags."""
+    def judged(verdict: pa.Table, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, Hashes]]]:
+        """By piece: its place, its runs, their flags, and its bytes with their hashes."""
         parts = [(x, len(x) // 17) for x in verdict.column("verdict").to_pylist()]
         if not parts:
             return
@@ -399,6 +436,7 @@ def remove_repeats(
         f = np.concatenate([np.frombuffer(x, np.uint8, n, 16 * n) for x, n in parts])
         # both hashes are uniform, so their sum names a run as well as the pair does; pieces' verdicts on one are the same
         # but for SENDS, which any piece may do
+        several = np.unique(g[b == SEVERAL])
         key, inverse = np.unique(g * _U(3) + b, return_inverse=True)
         flag = np.zeros(len(key), np.uint8)
         np.bitwise_or.at(flag, inverse, f)
@@ -406,45 +444,55 @@ def remove_repeats(
             start, past, least, body, hashes = runs(piece, window, gram)
             mine = least * _U(3) + body
             place = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-            yield at, start, past, np.where(key[place] == mine, flag[place], 0), hashes
+            flags = np.where(key[place] == mine, flag[place], 0)
+            flags[np.isin(least, several)] |= SENDS
+            yield at, start, past, flags, (piece, hashes)
 
     def spread(start: np.ndarray, past: np.ndarray, n: int) -> np.ndarray:
         return np.cumsum(np.bincount(start, minlength=n + 1)[:n] - np.bincount(past, minlength=n + 1)[:n]) > 0
 
-    def sent(start: np.ndarray, past: np.ndarray, flags: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of a piece's runs that send, with their hashes."""
+    def sent(start: np.ndarray, past: np.ndarray, flags: np.ndarray, piece: tuple[np.ndarray, Hashes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of a piece's runs that send, with two hashes of each."""
         chosen = (flags & SENDS) > 0
         at = np.flatnonzero(spread(start[chosen], past[chosen], int(past.max(initial=0))))
-        return at, hashes.of(at, at + window)
+        if not len(at):
+            return at, np.zeros(0, _U), np.zeros(0, np.uint32)
+        key, more = (h.of(at, at + window) for h in (piece[1], Hashes(piece[0], _ODD_TOO)))
+        return at, key, (more >> _U(32)).astype(np.uint32)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             _, data, _ = open_shard(left)
             shard = left.column("shard")[0].as_py()
-            for _, start, past, flags, hashes in judged(right, data):
-                _, key = sent(start, past, flags, hashes)
-                key = key[_sorted_distinct(key)]
+            for _, start, past, flags, piece in judged(right, data):
+                _, key, more = sent(start, past, flags, piece)
+                by = _sorted_distinct(key, more)
+                key, more = key[by], more[by]
                 cuts = cut_ranges(key, bits)
-                out += [(shard, r, key[cuts[r] : cuts[r + 1]].tobytes()) for r in np.flatnonzero(np.diff(cuts)).tolist()]
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = slice(cuts[r], cuts[r + 1])
+                    out.append((shard, r, key[part].tobytes(), more[part].tobytes()))
         return pa.table(
             {
                 "shard": pa.array([x[0] for x in out], pa.int64()),
                 "slot": pa.array([x[1] for x in out], pa.int32()),
                 "keys": pa.array([x[2] for x in out], pa.binary()),
+                "more": pa.array([x[3] for x in out], pa.binary()),
             }
         )
 
-    edges = shards.groupBy("shard").cogroup(verdicts.groupBy("shard")).applyInArrow(send, "shard long, slot int, keys binary")
+    edges = shards.groupBy("shard").cogroup(verdicts.groupBy("shard")).applyInArrow(send, _LIST)
 
     def meet_windows(group: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, _U) for x in group.column("keys").to_pylist()]
+        more = [np.frombuffer(x, np.uint32) for x in group.column("more").to_pylist()]
         merged, place = merge_sorted(keys)
         hit = np.zeros(len(merged), bool)
-        if len(merged):
-            hit[place] = _neighbours(merged[1:] == merged[:-1])
+        hit[place] = judge_windows(merged, np.concatenate(more)[place])
         ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        out = [(s, k[hit[a:b]].tobytes()) for s, k, a, b in zip(group.column("shard").to_pylist(), keys, ends, ends[1:], strict=False) if hit[a:b].any()]
+        found = [hit[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        out = [(s, k[h].tobytes() + m[h].tobytes()) for s, k, m, h in zip(group.column("shard").to_pylist(), keys, more, found, strict=True) if h.any()]
         return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "window": pa.array([x[1] for x in out], pa.binary())})
 
     common.free_shuffles(spark)
@@ -470,15 +518,18 @@ def remove_repeats(
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         table, data, repeated = open_shard(left)
         if right.num_rows:
-            lists = [np.frombuffer(x, _U) for x in right.filter(right.column("window").is_valid()).column("window").to_pylist()]
-            elsewhere = np.unique(np.concatenate(lists)) if lists else np.zeros(0, _U)
-            for at, start, past, flags, hashes in judged(right.filter(right.column("verdict").is_valid()), data):
+            parts = [(x, len(x) // 12) for x in right.filter(right.column("window").is_valid()).column("window").to_pylist()]
+            some = np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U, n) for x, n in parts)])
+            more = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32, n, 8 * n) for x, n in parts)])
+            by = _sorted_distinct(some, more)
+            some, more = some[by], more[by]
+            for at, start, past, flags, piece in judged(right.filter(right.column("verdict").is_valid()), data):
                 full = (flags & REPEATED) > 0
                 n = int(past.max(initial=0))
                 repeated[at : at + n] |= spread(start[full], past[full], n)
-                if len(elsewhere):
-                    place, key = sent(start, past, flags, hashes)
-                    repeated[at + place[np.isin(key, elsewhere)]] = True
+                if len(some):
+                    place, key, second = sent(start, past, flags, piece)
+                    repeated[at + place[held_in(key, second, some, more)]] = True
         cols: dict[str, list] = {k: [] for k in ("kept", "kept_text", "n_bytes", "n_removed", "n_spans", "removed")}
         at = 0
         for size in np.diff(np.concatenate([[-1], np.flatnonzero(data == SEPARATOR)])).tolist():

@@ -83,6 +83,35 @@ def test_merge_is_by_order():
     assert (np.concatenate(lists)[place] == keys).all() and (np.diff(keys.astype(int)) >= 0).all()
 
 
+def test_common_lines_in_various_surroundings(spark):
+    """A line of 109 bytes and one of 230 in nearly all documents: one entry a shard, and the right bytes go."""
+    r = random.Random(17)
+    line = "".join(r.choice("abcdefgh ") for _ in range(109))
+    long_line = "".join(r.choice("abcdefgh ") for _ in range(230))
+    body = lambda: "".join(r.choice("ijklmnop ") for _ in range(r.randrange(100, 300)))
+    docs = [f"{body()}\n{line}\n{body()}" + (f"\n{long_line}\n{body()}" if i % 3 == 0 else "") for i in range(150)] + ["x" + long_line, long_line]
+    data = S._joined([d.encode() for d in docs])
+    _, _, least, bodies, _ = S.runs(data, 200, 64)
+    gram, body_of = S.entries(least, bodies)
+    assert len(gram) == len(set(gram.tolist())) and (np.diff(gram.astype(object)) > 0).all()
+    _, count = np.unique(least, return_counts=True)
+    assert count.max() > 100 and np.count_nonzero(body_of == S.SEVERAL) >= 1
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    for shard in (2000, 20_000):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df, shard_bytes=shard).selectExpr("*", "sha2(kept, 256) kept_sha256").collect()}
+        assert [got[i] for i in range(len(docs))] == brute(docs, 200)
+
+
+def test_judgements():
+    u = lambda *x: np.array(x, np.uint64)
+    flags = S.judge_runs(u(1, 2, 2, 3, 3, 3, 4, 4, 5, 5), u(7, 8, 8, 5, 6, 6, S.SEVERAL, S.SEVERAL, S.SEVERAL, 9))
+    assert flags.tolist() == [0, S.REPEATED, S.REPEATED, S.SENDS, S.REPEATED | S.SENDS, S.REPEATED, S.SENDS, S.SENDS, S.SENDS, S.SENDS]
+    more = np.array([1, 2, 1, 5, 6, 9], np.uint32)
+    assert S.judge_windows(u(3, 3, 3, 4, 4, 5), more).tolist() == [True, False, True, False, False, False]
+    assert S.held_in(u(3, 3, 4, 9), np.array([2, 7, 5, 1], np.uint32), u(3, 3, 4), np.array([1, 2, 6], np.uint32)).tolist() == [True, False, False, False]
+    assert S.judge_runs(u(), u()).tolist() == [] and S.judge_windows(u(), np.zeros(0, np.uint32)).tolist() == []
+
+
 def test_ranges_are_even():
     r = np.random.default_rng(5)
     text = r.integers(97, 123, 400_000).astype(np.uint8)
