@@ -3,8 +3,10 @@
 Overlapping heuristic labellers vote on each document of a bounded training sample, for two questions: is it of low
 quality, is it toxic.  Given labels are one more labeller, with accuracies of their own.  Expectation-maximisation
 (labellers independent given the truth, abstentions allowed) estimates every labeller's accuracy and the
-posterior of each document; the posteriors train a logistic scorer over hashed word features and measured
+posterior of each document; the posteriors, and they alone, train a logistic scorer over hashed word features and measured
 structure.  The scorer reads whole texts and is all that is applied to the corpus.
+
+The sample's features are counted where its texts lie; the driver gets a bounded number of them and no text.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ idiot idiots moron morons stupid scum trash loser losers pathetic worthless disg
 idioten dumm dummkopf abschaum arschloch trottel imbécile crétin connard salaud ordure abruti imbécil estúpido basura escoria
 """.split()
 
+_INSULTS = frozenset(INSULTS)
+
 # ---------------------------------------------------------------- what is measured
 
 STRUCTURE = ("symbols", "upper", "repeats", "bars", "marks", "same_lines", "few", "runs")
@@ -67,11 +71,13 @@ def structure(text: str, tokens: list[str]) -> list[float]:
 
 
 def word_slots(token: str) -> list[int]:
-    """Hash slots of a token: the word and its beginnings."""
+    """Hash slots of a token: the word, its beginnings, and the class of insults for their words."""
     w = token.lower().strip(EDGE)
     if not w:
         return []
     names = [f"w {w}", *(f"{k} {w[:k]}" for k in PREFIXES if len(w) >= k)]
+    if w in _INSULTS:
+        names.append("class insult")
     return [xxhash.xxh32_intdigest(x.encode()) >> (32 - BITS) for x in names]
 
 
@@ -162,47 +168,54 @@ class Scorer(dict):
         return float(a), float(b)
 
 
-def train(texts: list[str], given: list[tuple[int | None, int | None]], epochs: int = 26, rate: float = 0.8, decay: float = 1e-5) -> Model:
-    """Fit on texts and their given labels ((1 good / 0 low), (1 toxic / 0 not); None: not given)."""
-    n = len(texts)
+@dataclass
+class Example:
+    """What the fit needs of a text: words, form, insults among the words, and its slots with their counts per 100 words."""
+
+    size: int
+    form: list[float]
+    hits: int
+    slots: np.ndarray
+    values: np.ndarray
+
+
+def example(text: str, memory: dict[str, list[int]]) -> Example:
+    words = text.split()
+    size, hits = max(1, len(words)), 0
+    count: Counter = Counter()
+    for w, c in Counter(words).items():
+        known = memory.get(w)
+        if known is None:
+            if len(memory) > 50_000:
+                memory.clear()
+            known = memory[w] = word_slots(w)
+        for s in known:
+            count[s] += c
+        if w.lower().strip(EDGE) in _INSULTS:
+            hits += c
+    slots = np.fromiter(count.keys(), np.int32, len(count))
+    return Example(size, structure(text, words), hits, slots, np.fromiter(count.values(), np.float32, len(count)) * np.float32(100 / size))
+
+
+def train(examples: list[Example], given: list[tuple[int | None, int | None]], epochs: int = 26, rate: float = 0.8, decay: float = 1e-5) -> Model:
+    """Fit on texts' features and their given labels ((1 good / 0 low), (1 toxic / 0 not); None: not given)."""
+    n = len(examples)
     if not n:
         return Model(np.zeros((2, 1 << BITS)), np.zeros((2, len(STRUCTURE))), np.full(2, -2.0))
-    size, form = np.ones(n, np.int64), np.zeros((n, len(STRUCTURE)))
-    hits = [0] * n
-    insults = frozenset(INSULTS)
-    memory: dict[str, list[int]] = {}
-    slots, values = [], []
-    for i, text in enumerate(texts):  # a text's words go before the next one's come
-        words = text.split()
-        size[i] = max(1, len(words))
-        form[i] = structure(text, words)
-        count: Counter = Counter()
-        for w, c in Counter(words).items():
-            known = memory.get(w)
-            if known is None:
-                if len(memory) > 50_000:
-                    memory.clear()
-                known = memory[w] = word_slots(w)
-            for s in known:
-                count[s] += c
-            if w.lower().strip(EDGE) in insults:
-                hits[i] += c
-        slots.append(np.fromiter(count.keys(), np.int32, len(count)))
-        values.append(np.fromiter(count.values(), np.float32, len(count)) * np.float32(100 / size[i]))
+    size = np.array([e.size for e in examples])
+    form = np.array([e.form for e in examples])
+    slots, values = [e.slots for e in examples], [e.values for e in examples]
     low = np.array([0 if q is None else 1 if q == 0 else -1 for q, _ in given])
     tox = np.array([0 if t is None else 1 if t == 1 else -1 for _, t in given])
     stems = _marking_slots(slots, values, tox)
     share = [float(v[np.isin(s, stems)].sum()) / 100 for s, v in zip(slots, values, strict=True)]
     votes = [
         np.column_stack([np.array([quality_votes(list(f), k) for f, k in zip(form, size, strict=True)]).reshape(n, -1), low]),
-        np.column_stack([np.array([toxic_votes(h, s, k) for h, s, k in zip(hits, share, size, strict=True)]).reshape(n, -1), tox]),
+        np.column_stack([np.array([toxic_votes(e.hits, s, e.size) for e, s in zip(examples, share, strict=True)]).reshape(n, -1), tox]),
     ]
     reliability = [expectation_maximisation(v) for v in votes]
     target = np.stack([r.posterior(v) for r, v in zip(reliability, votes, strict=True)])
     model = Model(np.zeros((2, 1 << BITS)), np.zeros((2, len(STRUCTURE))), np.full(2, -2.0), reliability)
-    # what the labellers go by is where the toxic head starts
-    model.words[1, stems] = 0.3
-    model.words[1, [word_slots(w)[0] for w in INSULTS]] = 1.0
     _fit(model, slots, values, form, target, epochs, rate, decay)
     return model
 
@@ -264,28 +277,66 @@ def _fit(model: Model, slots: list, values: list, form: np.ndarray, target: np.n
 # ---------------------------------------------------------------- the operator
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000, id_: str = "doc_id", text: str = "text", longest: int = 1 << 20) -> Model:
-    """Train on at most ``sample`` labelled rows: those of the smallest hash of their id.
+_EXAMPLE = "_id {id}, _th long, _q int, _t int, _size int, _form array<double>, _hits int, _n int, _slots binary, _values binary"
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000, id_: str = "doc_id", text: str = "text", most: int = 1 << 23) -> Model:
+    """Train on at most ``sample`` labelled rows, those of the smallest hash of their id, and of these on as many as have at most ``most``
+    features (slots of a text's words) in all; both bound the driver's memory.
 
     Only the fit is bounded.  Labels may be null and are then not given; a row with several labels counts once for
-    each.  The sample's texts are whole; rows over ``longest`` characters are not drawn for it.  Without
-    labelled rows, the first rows by the same hash are taken, and the heuristic labellers vote alone.
+    each, and rows of one id are told apart by their texts.  The sample's texts are whole.  Without
+    labelled rows, the rows of the smallest hash are taken, and the heuristic labellers vote alone.
     """
     given = labels.select(F.col(id_).alias("_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t"))
     chosen = given.where("_id is not null").orderBy(F.xxhash64("_id"), "_id", "_q", "_t").limit(sample)
-    docs = documents.select(F.col(id_).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.length("_text") <= longest)
-    rows = docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_text", "_q", "_t").collect()
-    if not rows:
-        rows = [(r[0], None, None) for r in docs.orderBy(F.xxhash64("_doc"), F.xxhash64("_text")).limit(sample).select("_text").collect()]
-    # the order in which rows arrive must not matter
-    rows = sorted(((t, q, x) for t, q, x in rows), key=lambda r: (xxhash.xxh64_intdigest(r[0].encode()), str(r)))
-    return train([t for t, _, _ in rows], [(q, x) for _, q, x in rows])
+    docs = documents.select(F.col(id_).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = _examples(docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc"), sample, most)
+    if not found:
+        none = F.lit(None).cast("int")
+        hashed = docs.select(F.col("_doc").alias("_id"), "_text", none.alias("_q"), none.alias("_t"))
+        share = min(1.0, 2 * sample / max(1, docs.count()))  # the hash draws about twice as many, of which the first are taken
+        bar = F.lit(2**63 - 1 if share == 1 else int(share * 2**64) - 2**63)
+        found = _examples(hashed.where(F.xxhash64("_id") <= bar), sample, most)
+    return train([e for e, _ in found], [g for _, g in found])
+
+
+def _examples(rows: DataFrame, sample: int, most: int) -> list[tuple[Example, tuple[int | None, int | None]]]:
+    """Features of the first rows (_id, _text, _q, _t) in the order of their hashes, within the bounds."""
+    schema = T._parse_datatype_string(_EXAMPLE.format(id=rows.schema["_id"].dataType.simpleString()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = common.held("examples")
+        for batch in common.batches_up_to(batches, 200):
+            raw = common.texts(batch.column("_text"))
+            made = [example(t, memory) for t in raw]
+            th = np.array([xxhash.xxh64_intdigest(t.encode()) for t in raw], np.uint64).view(np.int64)
+            columns = [pa.array([e.size for e in made], pa.int32()), pa.array([e.form for e in made], pa.list_(pa.float64())), pa.array([e.hits for e in made], pa.int32())]
+            columns += [pa.array([len(e.slots) for e in made], pa.int32()), pa.array([e.slots.tobytes() for e in made], pa.binary()), pa.array([e.values.tobytes() for e in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(th), batch.column("_q"), batch.column("_t"), *columns], schema.names)
+
+    written = common.write_table(rows.select("_id", "_text", "_q", "_t").mapInArrow(count, schema), "examples")
+    keys = [F.xxhash64("_id").alias("_h"), F.col("_th"), F.coalesce("_q", F.lit(-1)).alias("_k"), F.coalesce("_t", F.lit(-1)).alias("_l")]
+    first = written.select(*keys, "_n").orderBy("_h", "_th", "_k", "_l").limit(sample).collect()
+    total, last, taken = 0, None, 0
+    for r in first:
+        total += r["_n"]
+        if total > most:
+            break
+        last, taken = r, taken + 1
+    if last is None:
+        return []
+    end = F.struct(*[F.lit(last[c]).cast(t).alias(c) for c, t in (("_h", "long"), ("_th", "long"), ("_k", "int"), ("_l", "int"))])
+    some = written.where(F.struct(*keys) <= end).limit(taken).collect()
+    some.sort(key=lambda r: (r["_th"], str(r["_id"]), str(r["_q"]), str(r["_t"])))  # the order in which rows arrive must not matter
+    common.drop_table(written)
+    return [(Example(r["_size"], r["_form"], r["_hits"], np.frombuffer(r["_slots"], np.int32), np.frombuffer(r["_values"], np.float32)), (r["_q"], r["_t"])) for r in some]
 
 
 _SCORES = [T.StructField("low_quality", T.DoubleType()), T.StructField("toxic_score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 
 
-def classify(df: DataFrame, model: Model, text: str = "text", low_at: float = 0.4, toxic_at: float = 0.35) -> DataFrame:
+def classify(df: DataFrame, model: Model, text: str = "text", low_at: float = 0.4, toxic_at: float = 0.3) -> DataFrame:
     """``df`` with ``low_quality`` and ``toxic_score`` (chances) and ``kept`` (both below their thresholds).
 
     A null or empty text has no words and is judged by its form alone.  Equal texts get equal scores.  Input columns
