@@ -18,6 +18,7 @@ from ..functions.expressions import column
 from ..plans import graph, nodes
 from ..plans.shapes import canonical
 from ..plans.validate import ValidatedPlan
+from ..sources.tables import places
 
 
 class LineageRefused(Exception):
@@ -158,23 +159,15 @@ def edges_v3(result: DataFrame, plan: ValidatedPlan, dataset: str, keys: tuple[s
 def edges_v4(result: DataFrame, plan: ValidatedPlan, dataset: str, keys: tuple[str, ...], result_id: str) -> DataFrame:
     """``ordinal``, ``source_id``: 32 bytes for each place of a sorted result.
 
-    Places are the counts of rows in earlier partitions plus the place in the own one; the order is the plan's, so the
-    plan must sort, by keys that leave no ties.
+    The order is the plan's, so the plan must sort, by keys that leave no ties.  The sorted rows are stored once and numbered there: rows of
+    earlier partitions, plus the place in the own one.
     """
     if not any(isinstance(o, nodes.Sort) for o in plan.operators):
         raise LineageRefused("a place needs an order")
     (key,) = keys
     source = f"source|{dataset}|{plan.data_snapshots[dataset]}|{key}|"
-    numbered = result.select(_hashed(source, column(key)).alias("source_id")).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()  # a row per partition
-    before, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        before[row["_part"]] = total
-        total += row["_n"]
-    starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.lit(None).cast("map<bigint,bigint>")
-    place = F.element_at(starts, part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.select(place.cast("long").alias("ordinal"), "source_id")
+    placed = places(result.select(_hashed(source, column(key).cast("string")).alias("source_id")), "ordinal")
+    return placed.select(F.col("ordinal").cast("long").alias("ordinal"), "source_id")
 
 
 def differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,28 +104,71 @@ def distinct_union(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _part() -> Column:
+    return F.shiftright("_at", 33).alias("_part")
+
+
+def _kept_in_order(df: DataFrame) -> DataFrame:
+    """``df``, whose partitions are in order, stored with ``_at``, which grows along partitions and rows.
+
+    It is stored once and read for all that follows: a second run of the same plan may be partitioned otherwise.
+    """
+    return stored(df.withColumn("_at", F.monotonically_increasing_id()), "in-order")
+
+
+def _before() -> Window:
+    """A window over one row a partition."""
+    return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def places(df: DataFrame, name: str = "_place") -> DataFrame:
+    """``df``, whose partitions are in order, with each row's place from 0: its place in its partition and the rows of those before."""
+    kept = _kept_in_order(df)
+    counts = kept.groupBy(_part()).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", (F.coalesce(F.sum("_n").over(_before()), F.lit(0)) - F.col("_first")).alias("_offset"))
+    numbered = kept.withColumn("_part", _part()).join(F.broadcast(offsets), "_part")
+    return numbered.select(*df.columns, (F.col("_at") + F.col("_offset")).alias(name))
+
+
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Partitions and rows in an order, nulls first; no task holds more than its range."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``row_number() OVER (ORDER BY order)`` without a single-partition window; the order should leave no ties."""
+    return places(in_order(df, order), "_place").select(*df.columns, (F.col("_place") + 1).alias(name))
+
+
+def running_sums(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``sum(value) OVER (ORDER BY order)`` with the default frame, in which peers have one sum: a row for each distinct order key.
+
+    Peers are added up first.  Ranges of keys are summed on their own and get the total of the ranges before.
+    """
+    peers = df.groupBy(*order).agg(F.sum(value).alias("_peers"))
+    kept = _kept_in_order(in_order(peers, order)).withColumn("_part", _part())
+    totals = kept.groupBy("_part").agg(F.sum("_peers").alias("_total"))
+    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(_before()), F.lit(0)).alias("_offset"))
+    inner = kept.withColumn("_inner", F.sum("_peers").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    return inner.join(F.broadcast(offsets), "_part").select(*order, (F.coalesce("_inner", F.lit(0)) + F.col("_offset")).alias(name))
+
+
+def until_covered(df: DataFrame, key: str, order: Column, rows: int) -> DataFrame:
+    """Keys of ``df``, in an order of their own, until the keys taken have ``rows`` rows or more in all."""
+    frequencies = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_order", order)
+    sums = running_sums(frequencies, ["_order", key], "_rows", "_sum")
+    return frequencies.join(sums, ["_order", key]).where(F.col("_sum") - F.col("_rows") < rows).select(key)
+
+
 def even_sample(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """``size`` rows at even steps of an order.
+    """``size`` rows at even steps of an order; all rows if there are fewer.
 
-    Places are found without a single-partition window: a range partitioning sorts, rows per partition are counted, and
-    the place within a partition is added to the counts before it.
+    Row k is taken where k * size // total steps up.
     """
-    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    part = F.shiftright("_at", 33)
-    counts = {r[0]: (r[1], r[2]) for r in ranged.groupBy(part).agg(F.min("_at"), F.count(F.lit(1))).collect()}  # a row per partition
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p] = total - counts[p][0]
-        total += counts[p][1]
-    if not total:
-        return ranged.drop("_at")
-    size = min(size, total)
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part)
-    place = (F.col("_at") + offset).alias("_place")
-    # row k is taken where k * size // total steps up
-    steps = ranged.withColumn("_place", place)
-    taken = F.floor((F.col("_place") + 1) * F.lit(size) / F.lit(total)) > F.floor(F.col("_place") * F.lit(size) / F.lit(total))
-    return steps.where(taken).drop("_at", "_place")
+    placed = places(in_order(df, order))
+    total = placed.count()
+    step = lambda k: F.floor(k * F.lit(min(size, total)) / F.lit(max(1, total)))
+    return placed.where(step(F.col("_place") + 1) > step(F.col("_place"))).select(*df.columns)
 
 
 def seeded_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
@@ -140,22 +183,28 @@ def bucket_of(c: Column, buckets: int = 10_000) -> Column:
 
 def synthetic_events(spark: SparkSession, rows: int, id_width: int = 18, allowed_share: float = 0.5, hot_share: float = 0.3, keys: int = 1000, seed: int = 0) -> DataFrame:
     """Events with controlled selectivities and a hot join key, generated on the executors."""
-    unit = lambda k: F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1_000_000)) / 1e6
+    unit = lambda k: bucket_of(F.concat(F.lit(f"{seed + k}-"), F.col("id").cast("string")), 1_000_000) / 1e6
     return spark.range(rows).select(
         F.rpad(F.concat(F.lit("ev-"), F.lpad(F.col("id").cast("string"), 12, "0")), id_width, "x").alias("event_id"),
         (F.to_timestamp(F.lit("2026-01-01 00:00:00")) + F.make_dt_interval(secs=F.col("id") % 31_536_000)).alias("event_time"),
         (unit(1) * 180 - 90).alias("latitude"),
         (unit(2) * 360 - 180).alias("longitude"),
         (unit(3) < allowed_share).alias("policy_allowed"),
-        F.when(unit(4) < hot_share, F.lit("key-hot")).otherwise(F.concat(F.lit("key-"), F.pmod(F.xxhash64("id"), F.lit(keys)).cast("string"))).alias("join_key"),
+        F.when(unit(4) < hot_share, F.lit("key-hot")).otherwise(F.concat(F.lit("key-"), bucket_of(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")), keys).cast("string"))).alias("join_key"),
         (unit(5) * 9).alias("magnitude"),
     )
 
 
+def hash_of(*columns: str) -> Column:
+    """60 bits of the MD5 of the values as text, which other engines can compute too; a null is no text."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count, XOR of row hashes and total text length: equal for equal bags of rows."""
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.bit_xor(F.xxhash64(*columns)).alias("hash_xor"),
+        F.bit_xor(hash_of(*columns)).alias("hash_xor"),
         F.sum(F.length(F.concat_ws("", *[F.col(c).cast("string") for c in columns]))).cast("decimal(38,0)").alias("text_length"),
     )
