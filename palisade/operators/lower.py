@@ -66,8 +66,9 @@ class Context:
 
 def _scan(op: nodes.ScanSource, c: Context) -> DataFrame:
     version = c.plan.data_snapshots[op.dataset]
-    stored = pushdown.restrict(c.bindings.table(op.dataset, version), pushdown.bounds(c.operators, op.operator_id))
-    return conform(stored, c.bindings.catalog.get(op.dataset))
+    dataset = c.bindings.catalog.get(op.dataset)
+    stored = pushdown.restrict(c.bindings.table(op.dataset, version), pushdown.bounds(c.operators, op.operator_id), dataset)
+    return conform(stored, dataset)
 
 
 def _spatial_filter(op: nodes.SpatialFilter, c: Context, df: DataFrame) -> DataFrame:

@@ -5,15 +5,18 @@ Most are plans that go through validation and lowering like a client's.  Decimal
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import families, lineage
-from .operators.lower import lower
+from .operators import explain, families, lineage
+from .operators.lower import conform, lower
+from .plans.validate import ValidatedPlan
 from .sources import tables
-from .testing_catalog import bindings, validated
+from .testing_catalog import bindings, catalog, compare, op, scan, validated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,24 +50,6 @@ def direct(name: str, sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-def scan(dataset: str, **more) -> dict:
-    return {"operator_type": "ScanSource", "dataset": dataset, **more}
-
-
-def op(kind: str, **more) -> dict:
-    return {"operator_type": kind, **more}
-
-
-def compare(field: str, operator: str, data_type: str, value, negated: bool = False) -> dict:
-    return {
-        "expression_type": "comparison",
-        "operator": operator,
-        "left": {"expression_type": "field", "field": field},
-        "right": {"expression_type": "literal", "data_type": data_type, "value": value},
-        "negated": negated,
-    }
-
-
 def group(operator: str, *operands: dict, negated: bool = False) -> dict:
     return {"expression_type": "boolean", "operator": operator, "operands": list(operands), "negated": negated}
 
@@ -374,10 +359,14 @@ plan(
 # ---------------------------------------------------------------- record lineage
 
 
-def _records(encode, *extra: dict) -> Query:
+def _records_plan() -> ValidatedPlan:
+    ops = [scan("customer"), op("Filter", expression=compare("c_mktsegment", "eq", "string", "BUILDING")), keep("c_custkey", "c_name")]
+    return validated(ops, {"obligation_type": "LINEAGE_CAPTURE", "parameters": {"level": "record"}})
+
+
+def _records(encode) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ops = [scan("customer"), op("Filter", expression=compare("c_mktsegment", "eq", "string", "BUILDING")), keep("c_custkey", "c_name"), *extra]
-        made = validated(ops, {"obligation_type": "LINEAGE_CAPTURE", "parameters": {"level": "record"}})
+        made = _records_plan()
         lineage.record_fragment(made, "customer", ("c_name",))
         rows = lineage.lower_for_records(made, bindings(spark, sf_dir))
         edges = encode(rows, made, "customer", ("c_name",), "result-1")
@@ -393,16 +382,38 @@ direct(
     f"""SELECT 'sha256:' || sha256('{{"output_key":' || {_KEY_JSON} || ',"result_id":"result-1"}}') AS output_record_id, 'customer' AS source_dataset, 'v1' AS source_snapshot,
        'sha256:' || sha256('{{"dataset":"customer","snapshot":"v1","source_key":' || {_KEY_JSON} || '}}') AS source_record_id {_BUILDING}""",
 )(_records(lineage.edges_v1))
-direct("lineage_v2", None)(_records(lineage.edges_v2))
+
+
+def _constants() -> dict[str, str]:
+    """What the identities of this plan's rows are hashed with, in hex or as text."""
+    made = _records_plan()
+    source = hashlib.sha256(lineage.canonical(lineage._context(made, "customer", ("c_name",))).encode()).hexdigest()
+    return {"source": source, "output": hashlib.sha256(b"result-1").hexdigest(), "plan": made.canonical_digest}
+
+
+_IDS = _constants()
+_KEY_TYPED = """encode('{"type":"string","value":"' || c_name || '"}')"""
 direct(
-    "lineage_v4",
-    f"""SELECT row_number() OVER (ORDER BY c_custkey DESC) - 1 AS ordinal, sha256('source|customer|v1|c_name|' || strlen(c_name) || ':' || c_name) AS source_id {_BUILDING}""",
-)(_records(lineage.edges_v4, op("Sort", keys=[{"field": "c_custkey", "direction": "desc"}])))
+    "lineage_v2",
+    f"""SELECT sha256(unhex('{b"O".hex()}{_IDS["output"]}') || {_KEY_TYPED}) AS output_id, sha256(unhex('{b"S".hex()}{_IDS["source"]}') || {_KEY_TYPED}) AS source_id {_BUILDING}""",
+)(_records(lineage.edges_v2))
+_KEY_SIZED = "strlen(c_name) || ':' || c_name"
+direct(
+    "lineage_v3",
+    f"""SELECT sha256('output|{_IDS["plan"]}|c_name|' || {_KEY_SIZED}) AS output_id, sha256('source|customer|v1|c_name|' || {_KEY_SIZED}) AS source_id {_BUILDING}""",
+)(_records(lineage.edges_v3))
 
 
-@direct("lineage_v3", f"SELECT sha256('source|customer|v1|c_name|' || strlen(c_name) || ':' || c_name) AS source_id {_BUILDING}")
-def _lineage_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(lineage.edges_v3)(spark, sf_dir).select("source_id")
+@direct(
+    "lineage_v4",
+    "SELECT row_number() OVER (ORDER BY value DESC, event_id) - 1 AS ordinal, sha256('source|events|v1|event_id|' || strlen(event_id::VARCHAR) || ':' || event_id) AS source_id FROM events",
+)
+def _lineage_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = [scan("events"), keep("event_id", "value"), op("Sort", keys=[{"field": "value", "direction": "desc"}, {"field": "event_id"}])]
+    made = validated(ops, {"obligation_type": "LINEAGE_CAPTURE", "parameters": {"level": "record"}})
+    lineage.record_fragment(made, "events", ("event_id",))
+    edges = lineage.edges_v4(lineage.lower_for_records(made, bindings(spark, sf_dir)), made, "events", ("event_id",), "result-1")
+    return edges.select("ordinal", F.lower(F.hex("source_id")).alias("source_id"))
 
 
 # ---------------------------------------------------------------- pipeline families
@@ -426,6 +437,11 @@ def _dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("dimension_key"), (F.col("s_suppkey") % 97).alias("marker"))
 
 
+def _longs(df: DataFrame) -> DataFrame:
+    """Wide integers as long ones, so that both engines' results have one type."""
+    return df.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema.fields])
+
+
 for _name, _way in families.PIPELINES.items():
     direct(
         f"pipeline_{_name.split('_')[0]}" + ("_first" if "first" in _name else ""),
@@ -433,14 +449,11 @@ for _name, _way in families.PIPELINES.items():
     )(lambda spark, sf_dir, _way=_way: _way(_lines(spark, sf_dir), _dimension(spark, sf_dir), 6000, 2500))
 
 
-@direct(
-    "pipeline_totals",
-    f"SELECT count(*) AS row_count, sum(row_id)::BIGINT AS row_id_sum, sum(marker)::BIGINT AS marker_sum FROM {_LINES} JOIN {_DIMENSION} ON join_key = dimension_key WHERE policy_bucket < 6000 AND query_bucket < 2500",
-)
-def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = families.totals(families.policy_first(_lines(spark, sf_dir), _dimension(spark, sf_dir), 6000, 2500))
-    return out.select("row_count", F.col("row_id_sum").cast("long").alias("row_id_sum"), F.col("marker_sum").cast("long").alias("marker_sum"))
-
+for _name, _way in families.TOTALS.items():
+    direct(
+        f"totals_{_name.removesuffix('_governed_pipeline')}",
+        f"SELECT count(*) AS row_count, sum(row_id)::BIGINT AS row_id_sum, sum(marker)::BIGINT AS marker_sum FROM {_LINES} JOIN {_DIMENSION} ON join_key = dimension_key WHERE policy_bucket < 6000 AND query_bucket < 2500",
+    )(lambda spark, sf_dir, _way=_way: _longs(_way(_lines(spark, sf_dir), _dimension(spark, sf_dir), 6000, 2500)))
 
 _BY_MARKER = f"SELECT marker, count(*) AS n FROM {_LINES} JOIN {_DIMENSION} ON join_key = dimension_key WHERE policy_bucket < 6000 GROUP BY 1"
 direct("agg_join_then", _BY_MARKER)(lambda spark, sf_dir: families.join_then_aggregate(_lines(spark, sf_dir), _dimension(spark, sf_dir), 6000))
@@ -472,11 +485,71 @@ direct("mask_late", _MASKED)(lambda spark, sf_dir: families.mask_late(_lines(spa
 direct("mask_aggregate", f"SELECT sha256(sensitive_value) AS sensitive_value, count(*) AS n FROM {_LINES} GROUP BY sensitive_value")(lambda spark, sf_dir: families.mask_aggregate(_lines(spark, sf_dir)))
 
 
-@direct("ordered_filters", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND value > 10 AND event_type <> 'click'")
-def _ordered_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filters: dict[str, Column] = {"temporal": F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"), "value": F.col("value") > 10, "policy": F.col("event_type") != "click"}
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return families.ordered_filters(df, filters, ("policy", "value", "temporal"), boundaries=True).select("event_id", "user_id")
+_FLOW_LINES = f"(SELECT row_id, lpad(sensitive_value, 24, '.') AS sensitive_value, join_key FROM {_LINES})"
+_FLOW_DIMENSION = f"(SELECT * FROM {_DIMENSION} WHERE dimension_key % 3 > 0)"
+_FLOW_JOIN = f"FROM {_FLOW_LINES} JOIN {_FLOW_DIMENSION} ON join_key = dimension_key"
+_HASH_60 = "('0x' || substr(md5(sha256(sensitive_value)), 1, 15))::BIGINT"
+_FLOW_SQL = {
+    "column_pruning": f"SELECT count(*) AS result_rows, sum(marker)::BIGINT AS marker_sum, sum(length(sensitive_value))::BIGINT AS payload_length_sum {_FLOW_JOIN}",
+    "mask_output": f"SELECT row_id, sha256(sensitive_value) AS masked_value, marker {_FLOW_JOIN}",
+    "mask_aggregate": f"SELECT count(*) AS result_rows, sum(marker)::BIGINT AS marker_sum, bit_xor({_HASH_60}) AS mask_digest {_FLOW_JOIN}",
+    "mask_sorted_output": f"SELECT row_id, sha256(sensitive_value) AS masked_value, marker {_FLOW_JOIN} ORDER BY masked_value, row_id",
+}
+
+
+def _flow_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with sensitive values of one width, and a dimension that two thirds of them match."""
+    lines = _lines(spark, sf_dir).withColumn("sensitive_value", F.lpad("sensitive_value", 24, "."))
+    return lines.select("row_id", "sensitive_value", "join_key"), _dimension(spark, sf_dir).where("dimension_key % 3 > 0")
+
+
+for _group, _ways in families.flows(24).items():
+    for _name in _ways:
+        direct(f"flow_{_name}", _FLOW_SQL[_group])(lambda spark, sf_dir, _g=_group, _n=_name: _longs(families.flows(24)[_g][_n](*_flow_tables(spark, sf_dir))))
+
+_COMPONENT_SQL = {
+    "hash_scan": f"SELECT sum(length(sensitive_value))::BIGINT AS length_sum FROM {_FLOW_LINES}",
+    "hash_sha256": f"SELECT sum(length(sha256(sensitive_value)))::BIGINT AS length_sum FROM {_FLOW_LINES}",
+    "join_payload_baseline": f"SELECT row_id, sensitive_value, 0::BIGINT AS marker FROM {_FLOW_LINES} WHERE join_key IN (SELECT dimension_key FROM {_FLOW_DIMENSION})",
+    "join_payload": f"SELECT row_id, sensitive_value, marker {_FLOW_JOIN}",
+    "materialization_write": f"SELECT row_id, sensitive_value FROM {_FLOW_LINES}",
+    "materialization_read": f"SELECT count(*) AS row_count, sum(length(sensitive_value))::BIGINT AS length_sum FROM {_FLOW_LINES}",
+    "early_mask_fragment": _FLOW_SQL["mask_sorted_output"],
+    "late_mask_fragment": _FLOW_SQL["mask_sorted_output"],
+}
+for _name, _sql in _COMPONENT_SQL.items():
+    direct(f"micro_{_name}", _sql)(lambda spark, sf_dir, _n=_name: _longs(families.components()[_n](*_flow_tables(spark, sf_dir))))
+
+_STAGED_EVENTS = """(SELECT event_id, ts AS event_time, -60.0::DOUBLE + (event_id * 37 % 1200) / 10.0::DOUBLE AS latitude, -180.0::DOUBLE + (event_id * 91 % 3600) / 10.0::DOUBLE AS longitude,
+       ('0x' || substr(md5('p' || event_id), 1, 8))::BIGINT % 10000 < 7000 AS policy_allowed, user_id AS join_key FROM events)"""
+_FILTERED = f"""SELECT event_id, c_mktsegment AS severity_label FROM {_STAGED_EVENTS} JOIN customer ON join_key = c_custkey
+WHERE event_time >= TIMESTAMP '2024-01-05' AND event_time < TIMESTAMP '2024-01-25' AND policy_allowed
+  AND 111.045 * sqrt(pow(latitude - 10.0, 2) + pow((longitude - 20.0) * cos(radians(10.0)), 2)) <= 6000 ORDER BY event_id"""
+
+
+def _staged(run: Callable[[DataFrame, DataFrame, dict], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        k, read = F.col("event_id"), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        events = read("events").select(
+            k,
+            F.col("ts").alias("event_time"),
+            (F.lit(-60.0) + (k * 37 % 1200) / F.lit(10.0)).alias("latitude"),
+            (F.lit(-180.0) + (k * 91 % 3600) / F.lit(10.0)).alias("longitude"),
+            (tables.bucket_of(F.concat(F.lit("p"), k.cast("string"))) < 7000).alias("policy_allowed"),
+            F.col("user_id").alias("join_key"),
+        )
+        dimension = read("customer").select(F.col("c_custkey").alias("dimension_key"), F.col("c_mktsegment").alias("severity_label"))
+        day = lambda d: F.lit(d).cast("timestamp_ntz")
+        return run(events, dimension, families.filters(day("2024-01-05"), day("2024-01-25"), (10.0, 20.0), 6000.0))
+
+    return query
+
+
+direct("filters_fused", _FILTERED)(_staged(families.filters_fused))
+for _order in families.FILTER_ORDERS:
+    direct(f"filters_{'_'.join(_order)}", _FILTERED)(_staged(lambda e, d, by, _order=_order: families.filters_in_order(e, d, by, _order)))
+for _after in families.BOUNDARIES:
+    direct(f"filters_boundary_{_after}", _FILTERED)(_staged(lambda e, d, by, _after=_after: families.filters_with_boundary(e, d, by, _after)))
 
 
 # ---------------------------------------------------------------- data preparation
@@ -488,20 +561,27 @@ def _union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.distinct_union(*parts)
 
 
-@direct("row_number", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier")
+@direct("row_number", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def _row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.row_number().over(w).cast("long").alias("place"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    return tables.row_numbers(orders, ["o_orderdate", "o_orderkey"], "place").select("o_orderkey", "place")
 
 
-@direct("running_sum", "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS running FROM events")
+@direct("running_sum", "SELECT event_id, sum(event_id) OVER (ORDER BY user_id, event_type)::BIGINT AS running FROM events")
 def _running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    order = ["user_id", "event_type"]
+    return events.join(tables.running_sums(events, order, "event_id", "running"), order).select("event_id", "running")
+
+
+_COVERED = """WITH f AS (SELECT l_partkey AS k, count(*) AS n, ('0x' || substr(md5('7-' || l_partkey), 1, 8))::BIGINT % 10000 AS o FROM lineitem GROUP BY 1)
+SELECT k AS l_partkey FROM (SELECT k, n, sum(n) OVER (ORDER BY o, k) AS s FROM f) WHERE s - n < 20000"""
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.sum("event_id").over(w).alias("running"))
+
+@direct("coverage_selection", _COVERED)
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey")
+    return tables.until_covered(lines, "l_partkey", tables.bucket_of(F.concat(F.lit("7-"), F.col("l_partkey").cast("string"))), 20_000)
 
 
 @direct("count_if", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_high FROM events GROUP BY 1")
@@ -543,3 +623,65 @@ def _seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @direct("cents", "SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders")
 def _cents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+
+
+# ---------------------------------------------------------------- sources, sinks, checks
+
+
+@direct("csv_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(15,2))::DOUBLE AS o_totalprice, epoch_us(o_orderdate) AS o_orderdate, o_orderpriority FROM orders")
+def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as headed text with other names, read back as strings with normalised names, cast by the catalog."""
+    path = f"{tables.shared_folder(spark)}/palisade/{uuid.uuid4().hex}/orders.csv"
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.toDF(*[f"  {c.replace('_', ' ').upper()} " for c in orders.columns]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    text = tables.read_delimited(spark, path, normalize_names=True)
+    return _flat(conform(text, catalog().get("orders"))).withColumn("o_orderdate", F.unix_micros("o_orderdate"))
+
+
+@direct("parquet_sink", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def _parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{tables.shared_folder(spark)}/palisade/{uuid.uuid4().hex}/orders"
+    tables.write_parquet(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), path, ["o_orderstatus"])
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@direct(
+    "cleaning",
+    """SELECT o_orderkey, TRY_CAST(left(o_orderpriority, 1) AS INTEGER) AS rank, TRY_CAST(o_orderstatus AS INTEGER) AS status FROM orders
+WHERE TRY_CAST(left(o_orderpriority, 1) AS INTEGER) IS NOT NULL AND TRY_CAST(left(o_orderpriority, 1) AS INTEGER) BETWEEN 2 AND 4""",
+)
+def _cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("rank"), F.col("o_orderstatus").alias("status"))
+    return tables.cleaned(raw, {"rank": "int", "status": "int"}, ["rank"], {"rank": (2, 4)})
+
+
+_UNIT = "(('0x' || substr(md5('{k}-' || id), 1, 8))::BIGINT % 1000000) / 1e6"
+
+
+@direct(
+    "synthetic_events",
+    f"""SELECT rpad('ev-' || lpad(id::VARCHAR, 12, '0'), 24, 'x') AS event_id, {1767225600000000}::BIGINT + id * 1000000 AS event_time, {_UNIT.format(k=4)} * 180 - 90 AS latitude,
+       {_UNIT.format(k=5)} * 360 - 180 AS longitude, {_UNIT.format(k=6)} < 0.4 AS policy_allowed,
+       CASE WHEN {_UNIT.format(k=7)} < 0.3 THEN 'key-hot' ELSE 'key-' || (('0x' || substr(md5('3-' || id), 1, 8))::BIGINT % 50) END AS join_key, {_UNIT.format(k=8)} * 9 AS magnitude
+FROM range(5000) AS r(id)""",
+)
+def _synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.synthetic_events(spark, 5000, 24, 0.4, 0.3, 50, 3).withColumn("event_time", F.unix_micros("event_time"))
+
+
+@direct(
+    "checksum",
+    """SELECT count(*) AS row_count, bit_xor(('0x' || substr(md5(event_id || '|' || event_type || '|' || props), 1, 15))::BIGINT) AS hash_xor,
+       sum(length(event_id || event_type || props))::BIGINT AS text_length FROM events""",
+)
+def _checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _longs(tables.checksum(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_id", "event_type", "props"]))
+
+
+@direct("explain_rows", "SELECT event_type, true AS same_plan, (SELECT count(DISTINCT event_type) FROM events) AS rows_out FROM events GROUP BY event_type")
+def _explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with what the plan's fingerprint and the executed plan's figures say of their query."""
+    grouped = lambda: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    df = grouped()
+    out = min(n.metrics["numOutputRows"] for n in explain.analyze(df).walk() if "Aggregate" in n.name and "numOutputRows" in n.metrics)
+    return df.select("event_type", F.lit(explain.fingerprint(df) == explain.fingerprint(grouped())).alias("same_plan"), F.lit(out).cast("long").alias("rows_out"))

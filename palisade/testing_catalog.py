@@ -1,4 +1,4 @@
-"""Catalog and policies for the TPC-H-like tables that the registered queries run on."""
+"""Catalog and policies for the TPC-H-like tables that the registered queries run on, and short forms of a plan's parts."""
 
 from __future__ import annotations
 
@@ -84,6 +84,24 @@ def bindings(spark: SparkSession, sf_dir: str) -> Bindings:
     return Bindings(spark, tables, catalog())
 
 
+def scan(dataset: str, **more) -> dict:
+    return {"operator_type": "ScanSource", "dataset": dataset, **more}
+
+
+def op(kind: str, **more) -> dict:
+    return {"operator_type": kind, **more}
+
+
+def compare(field: str, operator: str, data_type: str, value, negated: bool = False) -> dict:
+    return {
+        "expression_type": "comparison",
+        "operator": operator,
+        "left": {"expression_type": "field", "field": field},
+        "right": {"expression_type": "literal", "data_type": data_type, "value": value},
+        "negated": negated,
+    }
+
+
 def request(operators: list[dict], fields: list[str] | None = None, action: str = "read") -> dict:
     """A candidate plan: operators in order, each with the one before it as input unless it names its own."""
     for i, op in enumerate(operators):

@@ -1,7 +1,10 @@
 """Small catalogs and plans that the tests share."""
 
+from palisade import testing_catalog
 from palisade.plans.catalog import Catalog
 from palisade.plans.policy import PolicySet
+from palisade.testing_catalog import compare as comparison  # noqa: F401
+from palisade.testing_catalog import op  # noqa: F401
 
 CATALOG = {
     "datasets": [
@@ -50,8 +53,8 @@ def catalog() -> Catalog:
 def rule(decision="PERMIT", obligations=(), resources=("quakes", "scores", "sites"), policy_id="r", **more) -> dict:
     return {
         "policy_id": policy_id,
-        "policy_version": "1",
-        "subject_roles": ["researcher"],
+        "policy_version": "7",
+        "subject_roles": ["geologist"],
         "purposes": ["study"],
         "actions": ["read", "aggregate", "join"],
         "resources": list(resources),
@@ -77,7 +80,7 @@ def plan(*operators: dict, fields=(), purpose="study", action="read", output=Non
             o.setdefault("inputs", [operators[i - 1]["operator_id"]])
     out = {
         "plan_id": "t",
-        "request_context": {"subject": {"subject_id": "s", "role": "researcher"}, "action": action},
+        "request_context": {"subject": {"subject_id": "s", "role": "geologist"}, "action": action},
         "requested_output": {"fields": list(fields)},
         "operators": list(operators),
         "output_operator": output or operators[-1]["operator_id"],
@@ -88,18 +91,4 @@ def plan(*operators: dict, fields=(), purpose="study", action="read", output=Non
 
 
 def scan(dataset="quakes", **more):
-    return {"operator_type": "ScanSource", "dataset": dataset, **more}
-
-
-def op(kind, **more):
-    return {"operator_type": kind, **more}
-
-
-def comparison(field, operator, data_type, value, negated=False):
-    return {
-        "expression_type": "comparison",
-        "operator": operator,
-        "left": {"expression_type": "field", "field": field},
-        "right": {"expression_type": "literal", "data_type": data_type, "value": value},
-        "negated": negated,
-    }
+    return testing_catalog.scan(dataset, **more)

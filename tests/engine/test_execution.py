@@ -274,6 +274,49 @@ def test_record_lineage_and_tampering(spark, bound):
     assert [r.ordinal for r in lineage.edges_v4(df, p, "quakes", ("event_id",), "r").orderBy("ordinal").collect()] == [0, 1, 2]
 
 
+def test_places_are_unique_over_many_partitions(spark):
+    """A million rows sorted into many partitions of uneven size, with and without adaptive coalescing."""
+    from palisade import testing_catalog as T
+
+    plan_ = T.validated([T.scan("events"), T.op("Project", fields=["event_id", "value"]), T.op("Sort", keys=[{"field": "value"}, {"field": "event_id"}])], obligation("LINEAGE_CAPTURE", level="record"))
+    n = 1_000_000
+    result = spark.range(n).select(F.col("id").alias("event_id"), F.pmod(F.col("id") * 7919, F.lit(1000)).cast("double").alias("value"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for coalesce in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            spark.conf.set("spark.sql.shuffle.partitions", "13")
+            edges = lineage.edges_v4(result.orderBy("value", "event_id"), plan_, "events", ("event_id",), "r")
+            got = edges.agg(F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal"), F.count_distinct("source_id")).first()
+            assert tuple(got) == (n, 0, n - 1, n)
+            first = [bytes(r.source_id).hex() for r in edges.where("ordinal < 3").orderBy("ordinal").collect()]
+            ids = [r.event_id for r in result.where("value = 0").orderBy("event_id").limit(3).collect()]
+            assert first == [hashlib.sha256(f"source|events|v1|event_id|{len(str(i))}:{i}".encode()).hexdigest() for i in ids]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_global_numbers_and_sums_against_loops(spark):
+    r = random.Random(3)
+    data = [(i, r.choice("abcdef") if r.random() < 0.9 else None, r.randrange(100) if r.random() < 0.9 else None) for i in range(700)]
+    df = spark.createDataFrame(data, "i int, k string, v int").repartition(5)
+    got = {x.i: x.n for x in tables.row_numbers(df, ["k", "i"], "n").collect()}
+    assert got == {i: n for n, (i, *_) in enumerate(sorted(data, key=lambda x: (x[1] is not None, x[1] or "", x[0])), 1)}
+    sums = {x.k: x.s for x in tables.running_sums(df, ["k"], "v", "s").collect()}
+    for k in {k for _, k, _ in data}:
+        assert sums[k] == sum(v or 0 for _, q, v in data if (q is not None, q or "") <= (k is not None, k or ""))
+    none = df.where("false")
+    assert tables.row_numbers(none, ["k"], "n").count() == 0 and tables.running_sums(none, ["k"], "v", "s").count() == 0
+    covered = {x.k for x in tables.until_covered(df.where("k is not null"), "k", F.lit(0), 200).collect()}
+    total, want = 0, set()
+    for k in sorted({k for _, k, _ in data if k}):
+        if total < 200:
+            want.add(k)
+        total += sum(q == k for _, q, _ in data)
+    assert covered == want
+
+
 def test_record_lineage_refusals(bound):
     agg = op("Aggregate", group_by=["event_id"], aggregates=[{"function": "count", "output_field": "n"}])
     for operators, key in (([scan(), agg], "event_id"), ([scan(), op("Mask", fields=["note"])], "note"), ([scan(), op("Project", fields=["note"])], "event_id"), ([scan("scores")], "severity")):
@@ -307,6 +350,27 @@ def test_family_members_agree(spark):
     assert len(set(outs.values())) == 1
     assert rows(families.join_then_aggregate(events, dimension, 5000)) == rows(families.partial_aggregate_then_join(events, dimension, 5000))
     assert families.totals(families.fused(events, dimension, 10000, 10000)).first().row_count == 2000
+    assert len({tuple(f(events, dimension, 6000, 3000).first()) for f in families.TOTALS.values()}) == 1
+    part = dimension.where("marker % 2 = 0")
+    for group, ways in families.flows(18).items():
+        assert len({lineage.unordered_digest(f(events, part)) for f in ways.values()}) == 1, group
+    parts = {n: f(events, part) for n, f in families.components().items()}
+    assert parts["hash_scan"].first()[0] == 2000 * 18 and parts["hash_sha256"].first()[0] == 2000 * 64
+    assert parts["join_payload_baseline"].count() == parts["join_payload"].count()
+    assert tuple(parts["materialization_read"].first()) == (2000, 2000 * 18)
+    assert rows(parts["early_mask_fragment"]) == rows(parts["late_mask_fragment"])
+
+
+def test_filter_orders_and_boundaries_agree(spark):
+    events = tables.stored(tables.synthetic_events(spark, 3000), "events")
+    dimension = events.select(F.col("join_key").alias("dimension_key")).distinct().withColumn("severity_label", F.upper("dimension_key"))
+    by = families.filters(F.lit("2026-01-01 00:05:00").cast("timestamp"), F.lit("2026-01-01 00:40:00").cast("timestamp"), (10.0, 20.0), 8000.0)
+    want = families.filters_fused(events, dimension, by).collect()
+    assert 50 < len(want) < 1500 and len(families.FILTER_ORDERS) == 6
+    for order in families.FILTER_ORDERS:
+        assert families.filters_in_order(events, dimension, by, order).collect() == want
+    for after in families.BOUNDARIES:
+        assert families.filters_with_boundary(events, dimension, by, after).collect() == want
 
 
 def test_even_and_seeded_samples(spark):
@@ -371,6 +435,20 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert sorted(r.o_orderkey for r in df.collect()) == want
 
 
+def test_bounds_follow_the_catalogs_type(spark):
+    """An integer field that is stored as double is cut off towards zero; no row that passes the filter may be lost below it."""
+    sites = spark.createDataFrame([("a", 0.0, 0.0, 1.005, 5.9), ("b", 0.0, 0.0, 0.995, -5.9), ("c", 0.0, 0.0, 1.0, 5.0), ("d", 0.0, 0.0, 1.0, 0.9), ("e", 0.0, 0.0, 1.0, -0.9)], "site_id string, site_lat double, site_lon double, amount double, visits double")
+    bound_ = Bindings(spark, {"sites": sites}, catalog())
+    ids = lambda e: [x for (x,) in rows(lower(made(scan("sites"), op("Filter", expression=e), op("Project", fields=["site_id"])), bound_))]
+    assert ids(comparison("visits", "eq", "integer", 5)) == ["a", "c"]
+    assert ids(comparison("visits", "le", "integer", 5)) == ["a", "b", "c", "d", "e"]
+    assert ids(comparison("visits", "eq", "integer", 0)) == ["d", "e"]
+    assert ids(comparison("visits", "ge", "integer", -5)) == ["a", "b", "c", "d", "e"]
+    assert ids(comparison("visits", "lt", "integer", 0)) == ["b"]
+    assert ids(comparison("site_lat", "ge", "float", 0.0)) == ["a", "b", "c", "d", "e"]
+    assert set(ids(comparison("amount", "ge", "decimal", "1.00"))) == {"a", "b", "c", "d", "e"}
+
+
 def test_explain(spark, bound):
     from palisade.operators import explain
 
