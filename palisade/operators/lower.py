@@ -16,6 +16,7 @@ from ..functions import expressions as E
 from ..plans import fixed, graph, nodes, schema
 from ..plans.catalog import Catalog, Dataset
 from ..plans.validate import ValidatedPlan
+from ..sources.tables import read_parquet
 from . import pushdown, spatial
 
 GROUP_ROWS = "__group_rows"
@@ -27,17 +28,19 @@ class NotExecutable(Exception):
 
 @dataclass
 class Bindings:
-    """Tables for datasets, chosen by the one who runs plans: a DataFrame or a path, by dataset or (dataset, version)."""
+    """Tables for datasets, chosen by the one who runs plans: a DataFrame, what makes one, or a path, by dataset or (dataset, version)."""
 
     spark: SparkSession
-    tables: Mapping[str | tuple[str, str], DataFrame | str]
+    tables: Mapping[str | tuple[str, str], DataFrame | Callable[[], DataFrame] | str]
     catalog: Catalog
 
     def table(self, dataset: str, version: str) -> DataFrame:
         found = self.tables.get((dataset, version), self.tables.get(dataset))
         if found is None:
             raise NotExecutable(f"no table is bound to {dataset}")
-        return self.spark.read.parquet(found) if isinstance(found, str) else found
+        if isinstance(found, str):
+            return read_parquet(self.spark, found)
+        return found if isinstance(found, DataFrame) else found()
 
 
 def conform(df: DataFrame, dataset: Dataset) -> DataFrame:
@@ -108,6 +111,9 @@ def _aggregate_column(item: nodes.AggregateItem, df: DataFrame) -> F.Column:
     if item.function == "count":
         return F.count(F.lit(1)).alias(item.output_field)
     value = E.numeric(item.input_expression) if item.input_expression else E.column(item.input_field)
+    if item.function == "avg" and df.select(value).schema[0].dataType.typeName() == "decimal":
+        # from the exact sum, which the same aggregation often has already; no value becomes a double on its own
+        return (F.sum(value).cast("double") / F.count(value)).alias(item.output_field)
     if item.function == "avg":
         return F.avg(value.cast("double")).alias(item.output_field)
     return getattr(F, item.function)(value).alias(item.output_field)

@@ -428,13 +428,13 @@ _DIMENSION = "(SELECT s_suppkey AS dimension_key, s_suppkey % 97 AS marker FROM
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    return tables.read_parquet(spark, f"{sf_dir}/lineitem.parquet").select(
         row.alias("row_id"), F.concat(F.lit("value-"), F.col("l_partkey").cast("string")).alias("sensitive_value"), F.col("l_suppkey").alias("join_key"), tables.bucket_of(row.cast("string")).alias("query_bucket")
     )
 
 
 def _dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("dimension_key"), (F.col("s_suppkey") % 97).alias("marker"))
+    return tables.read_parquet(spark, f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("dimension_key"), (F.col("s_suppkey") % 97).alias("marker"))
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -468,7 +468,7 @@ _BATCH = " UNION ALL ".join(
 
 def _lineage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("event_id").cast("string")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return tables.read_parquet(spark, f"{sf_dir}/events.parquet").select(
         F.concat(F.lit("eq-"), name).alias("event_id"),
         (F.col("event_id") % 101).alias("event_value"),
         tables.bucket_of(F.concat(F.lit("p"), name)).alias("policy_bucket"),
@@ -529,7 +529,7 @@ WHERE event_time >= TIMESTAMP '2024-01-05' AND event_time < TIMESTAMP '2024-01-2
 
 def _staged(run: Callable[[DataFrame, DataFrame, dict], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        k, read = F.col("event_id"), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        k, read = F.col("event_id"), lambda t: tables.read_parquet(spark, f"{sf_dir}/{t}.parquet")
         events = read("events").select(
             k,
             F.col("ts").alias("event_time"),
@@ -557,19 +557,19 @@ for _after in families.BOUNDARIES:
 
 @direct("union_distinct", "SELECT c_nationkey::BIGINT AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
 def _union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(c).cast("long").alias("nationkey")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
+    parts = [tables.read_parquet(spark, f"{sf_dir}/{t}.parquet").select(F.col(c).cast("long").alias("nationkey")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
     return tables.distinct_union(*parts)
 
 
 @direct("row_number", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
 def _row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    orders = tables.read_parquet(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
     return tables.row_numbers(orders, ["o_orderdate", "o_orderkey"], "place").select("o_orderkey", "place")
 
 
 @direct("running_sum", "SELECT event_id, sum(event_id) OVER (ORDER BY user_id, event_type)::BIGINT AS running FROM events")
 def _running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    events = tables.read_parquet(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
     order = ["user_id", "event_type"]
     return events.join(tables.running_sums(events, order, "event_id", "running"), order).select("event_id", "running")
 
@@ -580,30 +580,30 @@ SELECT k AS l_partkey FROM (SELECT k, n, sum(n) OVER (ORDER BY o, k) AS s FROM f
 
 @direct("coverage_selection", _COVERED)
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey")
+    lines = tables.read_parquet(spark, f"{sf_dir}/lineitem.parquet").select("l_partkey")
     return tables.until_covered(lines, "l_partkey", tables.bucket_of(F.concat(F.lit("7-"), F.col("l_partkey").cast("string"))), 20_000)
 
 
 @direct("count_if", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_high FROM events GROUP BY 1")
 def _count_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("n_high"))
+    return tables.read_parquet(spark, f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("n_high"))
 
 
 @direct("semi_in", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def _semi_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_mktsegment = 'BUILDING'")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    chosen = tables.read_parquet(spark, f"{sf_dir}/customer.parquet").where("c_mktsegment = 'BUILDING'")
+    orders = tables.read_parquet(spark, f"{sf_dir}/orders.parquet")
     return orders.join(chosen, orders.o_custkey == chosen.c_custkey, "left_semi").select("o_orderkey")
 
 
 @direct("count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
 def _count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"))
+    return tables.read_parquet(spark, f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"))
 
 
 @direct("bit_xor", "SELECT event_type, bit_xor(event_id) AS ids, sum(strlen(props))::BIGINT AS bytes FROM events GROUP BY 1")
 def _bit_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = tables.read_parquet(spark, f"{sf_dir}/events.parquet")
     return df.groupBy("event_type").agg(F.bit_xor("event_id").alias("ids"), F.sum(F.octet_length("props")).cast("long").alias("bytes"))
 
 
@@ -612,17 +612,17 @@ def _bit_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE (i + 1) * 500 // n > i * 500 // n",
 )
 def _even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.even_sample(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), ["o_orderkey"], 500)
+    return tables.even_sample(tables.read_parquet(spark, f"{sf_dir}/orders.parquet").select("o_orderkey"), ["o_orderkey"], 500)
 
 
 @direct("seeded_sample", None)
 def _seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.seeded_sample(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey", 500, 42)
+    return tables.seeded_sample(tables.read_parquet(spark, f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey", 500, 42)
 
 
 @direct("cents", "SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders")
 def _cents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return tables.read_parquet(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
 
 
 # ---------------------------------------------------------------- sources, sinks, checks
@@ -632,7 +632,7 @@ def _cents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as headed text with other names, read back as strings with normalised names, cast by the catalog."""
     path = f"{tables.shared_folder(spark)}/palisade/{uuid.uuid4().hex}/orders.csv"
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = tables.read_parquet(spark, f"{sf_dir}/orders.parquet")
     orders.toDF(*[f"  {c.replace('_', ' ').upper()} " for c in orders.columns]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
     text = tables.read_delimited(spark, path, normalize_names=True)
     return _flat(conform(text, catalog().get("orders"))).withColumn("o_orderdate", F.unix_micros("o_orderdate"))
@@ -641,7 +641,7 @@ def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @direct("parquet_sink", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
 def _parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{tables.shared_folder(spark)}/palisade/{uuid.uuid4().hex}/orders"
-    tables.write_parquet(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), path, ["o_orderstatus"])
+    tables.write_parquet(tables.read_parquet(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), path, ["o_orderstatus"])
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
@@ -651,7 +651,7 @@ def _parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE TRY_CAST(left(o_orderpriority, 1) AS INTEGER) IS NOT NULL AND TRY_CAST(left(o_orderpriority, 1) AS INTEGER) BETWEEN 2 AND 4""",
 )
 def _cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("rank"), F.col("o_orderstatus").alias("status"))
+    raw = tables.read_parquet(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("rank"), F.col("o_orderstatus").alias("status"))
     return tables.cleaned(raw, {"rank": "int", "status": "int"}, ["rank"], {"rank": (2, 4)})
 
 
@@ -675,13 +675,13 @@ def _synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
        sum(length(event_id || event_type || props))::BIGINT AS text_length FROM events""",
 )
 def _checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _longs(tables.checksum(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_id", "event_type", "props"]))
+    return _longs(tables.checksum(tables.read_parquet(spark, f"{sf_dir}/events.parquet"), ["event_id", "event_type", "props"]))
 
 
 @direct("explain_rows", "SELECT event_type, true AS same_plan, (SELECT count(DISTINCT event_type) FROM events) AS rows_out FROM events GROUP BY event_type")
 def _explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with what the plan's fingerprint and the executed plan's figures say of their query."""
-    grouped = lambda: spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    grouped = lambda: tables.read_parquet(spark, f"{sf_dir}/events.parquet").groupBy("event_type").count()
     df = grouped()
     out = min(n.metrics["numOutputRows"] for n in explain.analyze(df).walk() if "Aggregate" in n.name and "numOutputRows" in n.metrics)
     return df.select("event_type", F.lit(explain.fingerprint(df) == explain.fingerprint(grouped())).alias("same_plan"), F.lit(out).cast("long").alias("rows_out"))

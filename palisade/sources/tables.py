@@ -35,6 +35,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reading
 
+_SCHEMAS: dict[tuple[str, int, int], T.StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; the schema of a single file that hasn't changed is not read from its footer again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    if not status.isFile():
+        return spark.read.parquet(path)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _SCHEMAS:
+        if len(_SCHEMAS) > 1000:
+            _SCHEMAS.clear()
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
 
 def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType | None = None, sep: str = ",", normalize_names: bool = False) -> DataFrame:
     """A headed text table.  Without ``schema`` all columns are strings; cast with ``conform``, as inferring reads all data twice."""

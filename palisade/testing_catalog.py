@@ -9,6 +9,7 @@ from .operators.lower import Bindings
 from .plans.catalog import Catalog
 from .plans.policy import PolicySet
 from .plans.validate import ValidatedPlan, validate
+from .sources.tables import read_parquet
 
 VERSION = "v1"
 _KINDS = {"s": "string", "i": "integer", "f": "float", "d": "decimal", "b": "boolean", "t": "datetime"}
@@ -77,10 +78,10 @@ def places(df: DataFrame, key: str, lat: str, lon: str, step: tuple[int, int]) -
 
 
 def bindings(spark: SparkSession, sf_dir: str) -> Bindings:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = lambda name: read_parquet(spark, f"{sf_dir}/{name}.parquet")
     tables: dict = {name: f"{sf_dir}/{name}.parquet" for name in TABLES if not name.endswith("_places")}
-    tables["customer_places"] = places(read("customer"), "c_custkey", "c_lat", "c_lon", (37, 91))
-    tables["supplier_places"] = places(read("supplier"), "s_suppkey", "s_lat", "s_lon", (53, 17))
+    tables["customer_places"] = lambda: places(read("customer"), "c_custkey", "c_lat", "c_lon", (37, 91))
+    tables["supplier_places"] = lambda: places(read("supplier"), "s_suppkey", "s_lat", "s_lon", (53, 17))
     return Bindings(spark, tables, catalog())
 
 
