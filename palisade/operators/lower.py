@@ -17,7 +17,7 @@ from ..plans import fixed, graph, nodes, schema
 from ..plans.catalog import Catalog, Dataset
 from ..plans.validate import ValidatedPlan
 from ..sources.tables import read_parquet
-from . import pushdown, spatial
+from . import exact, pushdown, spatial
 
 GROUP_ROWS = "__group_rows"
 
@@ -33,6 +33,7 @@ class Bindings:
     spark: SparkSession
     tables: Mapping[str | tuple[str, str], DataFrame | Callable[[], DataFrame] | str]
     catalog: Catalog
+    digits: Mapping[str, Mapping[str, int]] = field(default_factory=dict)  # by dataset and decimal field; a value with more is an error
 
     def table(self, dataset: str, version: str) -> DataFrame:
         found = self.tables.get((dataset, version), self.tables.get(dataset))
@@ -43,8 +44,8 @@ class Bindings:
         return found if isinstance(found, DataFrame) else found()
 
 
-def conform(df: DataFrame, dataset: Dataset) -> DataFrame:
-    """The catalog's fields in its order and types; times without zone are UTC, and decimals keep their scale."""
+def conform(df: DataFrame, dataset: Dataset, digits: Mapping[str, int] | None = None, more: tuple[F.Column, ...] = ()) -> DataFrame:
+    """The catalog's fields in its order and types, and ``more``; times without zone are UTC, and decimals keep their scale."""
     have = dict(df.dtypes)
 
     def one(f) -> F.Column:
@@ -52,10 +53,10 @@ def conform(df: DataFrame, dataset: Dataset) -> DataFrame:
         if f.data_type == "decimal" and have.get(f.name, "").startswith("decimal"):
             return c
         if f.data_type == "decimal":
-            return c.cast("decimal(15,2)").alias(f.name)
+            return c.cast(f"decimal({(digits or {}).get(f.name, 15)},2)").alias(f.name)
         return c.cast(E.SPARK_TYPE[f.data_type]).alias(f.name)
 
-    return df.select(*map(one, dataset.fields))
+    return df.select(*map(one, dataset.fields), *more)
 
 
 @dataclass
@@ -65,13 +66,18 @@ class Context:
     relations: dict[str, schema.Relation]
     operators: tuple[nodes.Operator, ...]
     guarded: set[str] = field(default_factory=set)  # aggregates with a group-size guard after them
+    summed: dict[str, set[str]] = field(default_factory=dict)  # fields of scans that aggregates add up
+    digits: dict[str, int] = field(default_factory=dict)  # of fields that come as hundredths too
 
 
 def _scan(op: nodes.ScanSource, c: Context) -> DataFrame:
     version = c.plan.data_snapshots[op.dataset]
     dataset = c.bindings.catalog.get(op.dataset)
     stored = pushdown.restrict(c.bindings.table(op.dataset, version), pushdown.bounds(c.operators, op.operator_id), dataset)
-    return conform(stored, dataset)
+    digits, kinds = c.bindings.digits.get(op.dataset, {}), dict(stored.dtypes)
+    exactly = sorted(n for n in c.summed.get(op.operator_id, set()) & digits.keys() if kinds.get(n) == "double")
+    c.digits |= {n: digits[n] for n in exactly}
+    return conform(stored, dataset, digits, tuple(exact.hundredths(n, digits[n]) for n in exactly))
 
 
 def _spatial_filter(op: nodes.SpatialFilter, c: Context, df: DataFrame) -> DataFrame:
@@ -107,20 +113,22 @@ def _sort(op: nodes.Sort, c: Context, df: DataFrame) -> DataFrame:
     return df.orderBy(*[E.column(k.field).asc_nulls_last() if k.direction == "asc" else E.column(k.field).desc_nulls_last() for k in op.keys])
 
 
-def _aggregate_column(item: nodes.AggregateItem, df: DataFrame) -> F.Column:
+def _aggregate_column(item: nodes.AggregateItem, df: DataFrame, c: Context) -> F.Column:
     if item.function == "count":
         return F.count(F.lit(1)).alias(item.output_field)
     value = E.numeric(item.input_expression) if item.input_expression else E.column(item.input_field)
-    if item.function == "avg" and df.select(value).schema[0].dataType.typeName() == "decimal":
+    total = exact.total(item, set(df.columns), c.digits) if c.digits and item.function in ("sum", "avg") else None
+    if item.function == "avg" and (total is not None or df.select(value).schema[0].dataType.typeName() == "decimal"):
         # from the exact sum, which the same aggregation often has already; no value becomes a double on its own
-        return (F.sum(value).cast("double") / F.count(value)).alias(item.output_field)
+        total = F.sum(value) if total is None else total
+        return (total.cast("double") / F.count(value)).alias(item.output_field)
     if item.function == "avg":
         return F.avg(value.cast("double")).alias(item.output_field)
-    return getattr(F, item.function)(value).alias(item.output_field)
+    return (total if total is not None else getattr(F, item.function)(value)).alias(item.output_field)
 
 
 def _aggregate(op: nodes.Aggregate, c: Context, df: DataFrame) -> DataFrame:
-    items = [_aggregate_column(a, df) for a in op.aggregates]
+    items = [_aggregate_column(a, df, c) for a in op.aggregates]
     if op.operator_id in c.guarded:
         items.append(F.count(F.lit(1)).alias(GROUP_ROWS))
     return df.groupBy(*map(E.column, op.group_by)).agg(*items)
@@ -200,7 +208,7 @@ def lower(plan: ValidatedPlan, bindings: Bindings, boundary: Callable[[str, Data
     relations, faults = schema.check(arranged, bindings.catalog)
     if faults:
         raise NotExecutable(f"{faults[0].code}: {faults[0].message}")
-    context = Context(plan, bindings, relations, operators, _guarded(operators))
+    context = Context(plan, bindings, relations, operators, _guarded(operators), {} if boundary else exact.scans(operators))
     made: dict[str, DataFrame] = {}
     for op in graph.order(operators)[0]:
         df = LOWER[op.operator_type](op, context, *[made[i] for i in op.inputs])

@@ -27,6 +27,8 @@ TABLES = {
     "customer_places": "c_custkey:i c_name:s! c_lat:f* c_lon:f*",
     "supplier_places": "s_suppkey:i s_name:s! s_lat:f* s_lon:f*",
 }
+#: Digits of decimals, two of them behind the point.
+DIGITS = {"lineitem": {"l_quantity": 6, "l_extendedprice": 9, "l_discount": 3, "l_tax": 3}}
 _TEMPORAL = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
 _SPATIAL = {"customer_places": ("c_lat", "c_lon"), "supplier_places": ("s_lat", "s_lon")}
 
@@ -82,7 +84,7 @@ def bindings(spark: SparkSession, sf_dir: str) -> Bindings:
     tables: dict = {name: f"{sf_dir}/{name}.parquet" for name in TABLES if not name.endswith("_places")}
     tables["customer_places"] = lambda: places(read("customer"), "c_custkey", "c_lat", "c_lon", (37, 91))
     tables["supplier_places"] = lambda: places(read("supplier"), "s_suppkey", "s_lat", "s_lon", (53, 17))
-    return Bindings(spark, tables, catalog())
+    return Bindings(spark, tables, catalog(), DIGITS)
 
 
 def scan(dataset: str, **more) -> dict:
