@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each round hangs the larger neighbours of a node, then its
     smaller ones, below the smallest.  The rounds grow with the logarithm of the longest chain.  Each round's
-    edges are written to the shared folder; a hub's edges are not gathered: its smallest neighbour is found by partial
+    edges are written to the shared folder, and ``common.drop_table`` deletes the last ones; a hub's edges are not gathered: its smallest neighbour is found by partial
     aggregation and brought to them by ``attach``.
     """
     current = common.write_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -39,4 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = after
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    out = roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    out._palisade_path = current._palisade_path
+    return out

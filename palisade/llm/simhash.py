@@ -190,12 +190,15 @@ def _named(marked: DataFrame, nodes: DataFrame, key: str, id_: str, link: Callab
     The rows of a node and the nodes of a component may be many: sizes are counted first, and large ones are not gathered.
     """
     size = nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    roots = link(size["nodes"]).withColumnRenamed("node", "_node")
+    linked = link(size["nodes"])
+    roots = linked.withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col(key) == F.col("_node"), "left").select(key, "least", F.coalesce("root", key).alias("root"), F.col("n").alias("_n"))
     rooted = common.write_table(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = common.attach(rooted, least, "root", size["nodes"]).select(key, "component_id", "root", F.col("_n").alias("n"))
-    return common.attach(marked, common.write_table(named, "named"), key, size["rows"]).select(id_, key, "component_id", "root", *KEYS)
+    named = common.write_table(common.attach(rooted, least, "root", size["nodes"]).select(key, "component_id", "root", F.col("_n").alias("n")), "named")
+    for done in (linked, nodes, rooted):
+        common.drop_table(done)
+    return common.attach(marked, named, key, size["rows"]).select(id_, key, "component_id", "root", *KEYS)
 
 
 def hex16(column):
