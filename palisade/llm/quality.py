@@ -30,6 +30,7 @@ BITS = 18
 PREFIXES = (4, 5, 6, 7)
 LEAST_ROWS = 4
 FORM_EPOCHS = 6
+CLASS_SLOTS = 4  # of the class of insults, so that it is learned before its texts' other words are learned by heart
 EDGE = "\"'`.,;:!?()[]{}<>|#*$%&_-–—«»“”„…"
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
 CACHE_WORDS = 400_000
@@ -77,7 +78,7 @@ def word_slots(token: str) -> list[int]:
         return []
     names = [f"w {w}", *(f"{k} {w[:k]}" for k in PREFIXES if len(w) >= k)]
     if w in _INSULTS:
-        names.append("class insult")
+        names += [f"class insult {i}" for i in range(CLASS_SLOTS)]
     return [xxhash.xxh32_intdigest(x.encode()) >> (32 - BITS) for x in names]
 
 
@@ -328,7 +329,7 @@ def _examples(rows: DataFrame, sample: int, most: int) -> list[tuple[Example, tu
         return []
     end = F.struct(*[F.lit(last[c]).cast(t).alias(c) for c, t in (("_h", "long"), ("_th", "long"), ("_k", "int"), ("_l", "int"))])
     some = written.where(F.struct(*keys) <= end).limit(taken).collect()
-    some.sort(key=lambda r: (r["_th"], str(r["_id"]), str(r["_q"]), str(r["_t"])))  # the order in which rows arrive must not matter
+    some.sort(key=lambda r: (r["_th"] % (1 << 64), str(r["_id"]), str(r["_q"]), str(r["_t"])))  # the order in which rows arrive must not matter
     common.drop_table(written)
     return [(Example(r["_size"], r["_form"], r["_hits"], np.frombuffer(r["_slots"], np.int32), np.frombuffer(r["_values"], np.float32)), (r["_q"], r["_t"])) for r in some]
 

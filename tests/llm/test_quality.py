@@ -142,6 +142,14 @@ def test_sample_bounds(spark):
     assert Q.fit(docs, labels, sample=10).words.shape == (2, 1 << Q.BITS)
 
 
+def test_very_long_and_equal_texts(spark):
+    model = Q.train([Q.example(t, {}) for _, t, _, _ in corpus(100, 9)], [(q, x) for _, _, q, x in corpus(100, 9)])
+    long_ = "wort1 idiot " * 200_000
+    df = spark.createDataFrame([(1, long_, 5), (2, long_, 6), (3, "wort1 idiot " * 200, 7)], "doc_id long, text string, toxic_score int")
+    got = {r.doc_id: r for r in Q.classify(df, model).collect()}
+    assert got[1].toxic_score == got[2].toxic_score and abs(got[1].toxic_score - got[3].toxic_score) < 0.05
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (1, None, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "a b c " * 30), (2, None), (None, ""), (2, "x\x00" * 10)], "doc_id long, text string")
