@@ -91,6 +91,14 @@ def test_digest_covers_the_stored_tensors(spark):
         assert r.feature.endswith(f";tensors={n};tensors_crc32={zlib.crc32(stored[r.doc_id])}")
 
 
+def test_very_long_text(spark):
+    text = "long speech " * 250_000
+    df = spark.createDataFrame([(1, text, 2)], "doc_id long, text string, feature int")
+    r = M.digest(df).first()
+    assert (r.n_bytes, r.payload_bytes) == (3_000_000, 3_000_000) and r.feature.startswith("frames=37499;")
+    assert M.audio_columns(df).select("doc_id", "feature").first().feature == r.feature.split(";tensors=")[0]
+
+
 def test_log_mel_against_loops():
     import cmath
     import math

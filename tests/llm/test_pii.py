@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from palisade.llm import pii as P
 
@@ -100,6 +101,26 @@ def test_added_spans_on_planted_data(spark):
     assert right >= 0.9 * added, (right, added)
 
 
+def test_very_long_texts(spark):
+    """Thousands of spans in one text, base and added ones: places against loops, and no squared cost."""
+    n = 9000
+    docs = ["".join(f"from 10.0.{i % 256}.{i // 256} on " for i in range(n)), "".join(f"call 555-123-{i:04d} or a{i}@b.com " for i in range(n)), "7" * 8000]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in P.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 90
+    assert (got[0].n_ip, got[1].n_email) == (n, n)
+    for i in range(3):
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in slow(docs[i]))
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    added = [x for x in got[1].spans.split(",") if x.startswith("phone")]
+    assert added == [f"phone:{m.start()}:{m.end()}" for m in re.finditer(r"555-123-[0-9]{4}", docs[1])]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.com", "x", 2, 3)], "doc_id long, text string, found string, _base int, pii int")
+    assert P.digest(df).first().n_email == 1
+
+
 def test_native_and_empty(spark):
     out = P.digest(spark.createDataFrame([], "doc_id long, text string"))
     assert out.collect() == []

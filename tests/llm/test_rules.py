@@ -58,6 +58,21 @@ def test_policies_and_ablation(spark):
             assert r.n_kept == len(kept)
 
 
+def test_very_long_text_and_clashing_columns(spark):
+    r = random.Random(2)
+    docs = [" ".join(f"w{r.randrange(400)}" for _ in range(120_000)), "x" * 2_000_000, "a b c d e\n" * 20_000]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(docs)], "doc_id long, text string, failed_bits int, _text int")
+    for row in R.digest(df).collect():
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == slow(docs[row.doc_id])
+
+
+def test_sole_bit(spark):
+    docs = ["one two", "a plain text of more than ten words that has nothing wrong with it", "### " * 5]
+    got = {r.doc_id: r for r in R.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert (got[0].failed_bits, got[0].sole_bit, got[1].failed_bits, got[1].sole_bit) == (1, 1, 0, 0)
+    assert got[2].failed_bits.bit_count() > 1 and got[2].sole_bit == 0
+
+
 def test_native_and_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = R.digest(df)
