@@ -127,3 +127,48 @@ def test_words_are_no_credentials(spark):
     docs = [f"{prose()} password: {''.join(r.choice(letters) for _ in range(r.randrange(6, 12)))}" for _ in range(200)] + [prose() for _ in range(100)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert not any(s for x in S.find(df, S.fit(df)).collect() for s in x.secrets if not s.base)
+
+
+def test_futures_against_loops():
+    r = random.Random(11)
+    values = ["".join(r.choice("09afgzAFGZ+.") for _ in range(r.randrange(1, 30))) for _ in range(80)]
+    zero, lower = S.NAMES.index("0"), S.NAMES.index("a")
+    to = [{zero: 1, lower: 0}, {zero: 1}]
+    want = {}
+    for v in values:
+        codes = [S.NAMES.index(S.symbol(c)) for c in v]
+        at, i, place = 0, 0, 0
+        while True:
+            counts = want.setdefault(place, [0] * S._WIDTH)
+            ahead = (codes[i:] + [0] * S.AHEAD)[: S.AHEAD]
+            for d, c in enumerate(ahead):
+                counts[d * S.CLASSES + c] += 1
+            counts[S._FUTURE + ahead[0] * S.CLASSES + ahead[1]] += 1
+            if place % S.CLASSES or i == len(codes):
+                break
+            c = codes[i]
+            at, place = (to[at][c], to[at][c] * S.CLASSES) if c in to[at] else (at, at * S.CLASSES + c)
+            i += 1
+    for piece in (5, 100_000):
+        was, S._PIECE = S._PIECE, piece
+        try:
+            got = S.futures(to, values)
+        finally:
+            S._PIECE = was
+        assert {k: v.tolist() for k, v in got.items()} == want
+
+
+def test_all_credentials_and_texts_count(spark):
+    """One credential of a rare form among 1200, and a word that few texts have, are in the counts; the bar is the exact hundredth."""
+    r = random.Random(12)
+    values = sorted({"".join(r.choice("0123456789ABCDEF") for _ in range(r.randrange(20, 40))) for _ in range(1199)}) + ["q" * 300 + "." + "7" * 9]
+    docs = [f"plain words and token = {v} end" for v in values] + ["rare zqzq", "other zqzq", "alone xjxj", "alone xjxj"]
+    df = spark.createDataFrame([(t,) for t in docs], "text string").repartition(7)
+    grammar = S.fit(df)
+    a, local = grammar.automata[0], S.Automaton(values)
+    assert a.states == local.states and a.bar == local.bar
+    assert (a.marks, a.lengths) == (".", (20, 310)) == (local.marks, local.lengths)
+    assert sum(s.final for s in a.states) == len(values)
+    assert grammar.plain.pairs["zq"] == 4 and "xj" not in grammar.plain.pairs and grammar.plain.pairs["pl"] == len(values)
+    again = S.fit(df.repartition(3))
+    assert again.automata[0].states == a.states and again.plain.pairs == grammar.plain.pairs
