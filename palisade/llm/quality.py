@@ -1,12 +1,14 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote on each document of a bounded training sample, for two questions: is it of low
-quality, is it toxic.  Given labels are one more labeller, with accuracies of their own.  Expectation-maximisation
+Overlapping heuristic labellers vote on each labelled document, for two questions: is it of low quality, is it toxic.  Given labels are one more labeller, with accuracies of their own.  Expectation-maximisation
 (labellers independent given the truth, abstentions allowed) estimates every labeller's accuracy and the
 posterior of each document; the posteriors, and they alone, train a logistic scorer over hashed word features and measured
 structure.  The scorer reads whole texts and is all that is applied to the corpus.
 
-The sample's features are counted where its texts lie; the driver gets a bounded number of them and no text.
+All labelled rows count.  Their features are counted and stored where their texts lie; rates of slots, numbers of vote patterns (from which
+alone expectation-maximisation works) and weights are summed on executors as whole numbers, so the order of rows doesn't matter.
+The scorer is trained on blocks of rows, dealt by the hash of their id, and the blocks' weights are averaged by rows; the driver
+gets sums of bounded size and no row.
 """
 
 from __future__ import annotations
@@ -113,18 +115,19 @@ class Reliability:
         return 1 / (1 + np.exp(np.clip(score[0] - score[1], -50, 50)))
 
 
-def expectation_maximisation(votes: np.ndarray, rounds: int = 40) -> Reliability:
+def expectation_maximisation(votes: np.ndarray, rounds: int = 40, rows: np.ndarray | None = None) -> Reliability:
     """Labeller reliabilities from votes in {-1, 0, 1} alone; the last labeller's votes, where given, and else the majority
-    are the start."""
+    are the start.  ``rows``: how many rows vote like each (None: one)."""
+    rows = np.ones(len(votes)) if rows is None else rows
     total = votes.sum(axis=1)
     q = np.where(votes[:, -1] != 0, np.where(votes[:, -1] > 0, 0.95, 0.05), np.where(total > 0, 0.9, np.where((votes > 0).any(axis=1), 0.5, 0.05)))
     for _ in range(rounds):
         table = np.empty((votes.shape[1], 2, 3))
-        for t, w in enumerate((1 - q, q)):
+        for t, w in enumerate(((1 - q) * rows, q * rows)):
             for v in (-1, 0, 1):
                 table[:, t, v + 1] = ((votes == v) * w[:, None]).sum(axis=0) + 0.5
         table /= table.sum(axis=2, keepdims=True)
-        model = Reliability(float(np.clip(q.mean(), 0.005, 0.9)), table)
+        model = Reliability(float(np.clip((q * rows).sum() / rows.sum(), 0.005, 0.9)), table)
         q = model.posterior(votes)
     return model
 
@@ -151,13 +154,12 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.weights = (model.words[0] + 1j * model.words[1]).tolist()
 
     def __missing__(self, token: str) -> complex:
-        slots = word_slots(token)
-        a, b = self.model.words[:, slots].sum(axis=1) if slots else (0.0, 0.0)
         if len(self) > CACHE_WORDS:
             self.clear()
-        value = self[token] = complex(a, b)
+        value = self[token] = sum(map(self.weights.__getitem__, word_slots(token)), 0j)
         return value
 
     def score(self, text: str) -> tuple[float, float]:
@@ -180,22 +182,32 @@ class Example:
     values: np.ndarray
 
 
-def example(text: str, memory: dict[str, list[int]]) -> Example:
+def example(text: str, memory: dict[str, tuple[np.ndarray, bool]]) -> Example:
     words = text.split()
-    size, hits = max(1, len(words)), 0
-    count: Counter = Counter()
-    for w, c in Counter(words).items():
-        known = memory.get(w)
-        if known is None:
-            if len(memory) > 50_000:
+    size = max(1, len(words))
+    count = Counter(words)
+    known = []
+    for w in count:
+        x = memory.get(w)
+        if x is None:
+            if len(memory) > 100_000:
                 memory.clear()
-            known = memory[w] = word_slots(w)
-        for s in known:
-            count[s] += c
-        if w.lower().strip(EDGE) in _INSULTS:
-            hits += c
-    slots = np.fromiter(count.keys(), np.int32, len(count))
-    return Example(size, structure(text, words), hits, slots, np.fromiter(count.values(), np.float32, len(count)) * np.float32(100 / size))
+            x = memory[w] = (np.array(word_slots(w), np.int32), w.lower().strip(EDGE) in _INSULTS)
+        known.append(x)
+    hits = sum(c for c, (_, insult) in zip(count.values(), known, strict=True) if insult)
+    all_ = np.concatenate([x for x, _ in known]) if known else np.zeros(0, np.int32)
+    times = np.repeat(np.fromiter(count.values(), np.int64, len(count)), [len(x) for x, _ in known])
+    slots, inverse = np.unique(all_, return_inverse=True)
+    return Example(size, structure(text, words), hits, slots, _values(np.bincount(inverse, times, len(slots)), size))
+
+
+def _values(counts: np.ndarray, size: int) -> np.ndarray:
+    return counts.astype(np.float32) * np.float32(100 / size)
+
+
+def _label(low: int | None, toxic: int | None) -> tuple[int, int]:
+    """Given labels as votes."""
+    return 0 if low is None else 1 if low == 0 else -1, 0 if toxic is None else 1 if toxic == 1 else -1
 
 
 def train(examples: list[Example], given: list[tuple[int | None, int | None]], epochs: int = 26, rate: float = 0.8, decay: float = 1e-5) -> Model:
@@ -229,50 +241,65 @@ def _marking_slots(slots: list[np.ndarray], values: list[np.ndarray], tox: np.nd
             k = int(t > 0)
             rate[k, s] += v
             seen[k, s] += 1
-    rows = np.array([max(1, (tox < 0).sum()), max(1, (tox > 0).sum())])
+    return _marking(rate, seen, np.array([(tox < 0).sum(), (tox > 0).sum()]))
+
+
+def _marking(rate: np.ndarray, seen: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    rows = np.maximum(rows, 1)
     rate = (rate + 0.05) / rows[:, None]
     return np.flatnonzero((rate[1] > 8 * rate[0]) & (seen[1] >= max(8, 0.01 * rows[1])))
 
 
-def _fit(model: Model, slots: list, values: list, form: np.ndarray, target: np.ndarray, epochs: int, rate: float, decay: float) -> None:
+def _fit(model: Model, slots: list, values: list, form: np.ndarray, target: np.ndarray, epochs: int, rate: float, decay: float, common_: np.ndarray | None = None) -> None:
     """Minibatch logistic regression with adaptive steps; rows in a fixed random order.
 
     Form is fitted first, so that words only explain what it leaves; slots of fewer than LEAST_ROWS rows would only be
-    learned by heart and get no weight.
+    learned by heart and get no weight; ``common_`` are the others, where more rows than these count.
     """
     n = len(slots)
-    rows_with = np.zeros(1 << BITS, np.int32)
-    for s in slots:
-        rows_with[s] += 1
-    common_ = rows_with >= LEAST_ROWS
+    if common_ is None:
+        rows_with = np.zeros(1 << BITS, np.int32)
+        for s in slots:
+            rows_with[s] += 1
+        common_ = rows_with >= LEAST_ROWS
     chosen = [common_[s] for s in slots]
+    values = [v[k].astype(np.float64) for v, k in zip(values, chosen, strict=True)]
     slots = [s[k] for s, k in zip(slots, chosen, strict=True)]
-    values = [v[k] for v, k in zip(values, chosen, strict=True)]
+    present = np.unique(np.concatenate(slots)) if n else np.zeros(0, np.int32)
+    place = np.zeros(1 << BITS, np.int64)
+    place[present] = np.arange(len(present))  # weights are worked on side by side
+    slots = [place[s] for s in slots]
+    words, lengths = model.words[:, present], np.array([len(s) for s in slots])
     r = np.random.default_rng(7)
-    square = [np.full(model.words.shape, 1e-3), np.full(model.structure.shape, 1e-3), np.full(2, 1e-3)]
+    square = [np.full(words.shape, 1e-3), np.full(model.structure.shape, 1e-3), np.full(2, 1e-3)]
     # few rows need more rounds for as many steps
     rounds = max(1, -(-64 * 40 // max(n, 1)))
     for epoch in range(epochs * rounds):
         order = r.permutation(n)
         for at in range(0, n, 64):
             batch = order[at : at + 64]
-            slot = np.concatenate([slots[i] for i in batch])
-            value = np.concatenate([values[i] for i in batch])
-            row = np.repeat(np.arange(len(batch)), [len(slots[i]) for i in batch])
-            used, inverse = np.unique(slot, return_inverse=True)
+            learns = epoch >= FORM_EPOCHS * rounds
+            if learns:
+                slot = np.concatenate([slots[i] for i in batch])
+                value = np.concatenate([values[i] for i in batch])
+                row = np.repeat(np.arange(len(batch)), lengths[batch])
+                used = np.bincount(slot, minlength=len(present)) > 0
             for h in (0, 1):
-                z = np.bincount(row, value * model.words[h, slot], len(batch)) + form[batch] @ model.structure[h] + model.bias[h]
+                z = form[batch] @ model.structure[h] + model.bias[h]
+                if learns:  # before, words have no weights
+                    z = np.bincount(row, value * words[h].take(slot), len(batch)) + z
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[h, batch]) / len(batch)
-                g = np.bincount(inverse, value * error[row], len(used)) + decay * model.words[h, used]
-                if epoch >= FORM_EPOCHS * rounds:
-                    square[0][h, used] += g * g
-                    model.words[h, used] -= 0.2 * rate * g / np.sqrt(square[0][h, used])
+                if learns:
+                    g = np.bincount(slot, value * error.take(row), len(present)) + decay * words[h] * used
+                    square[0][h] += g * g
+                    words[h] -= 0.2 * rate * g / np.sqrt(square[0][h])
                 g = error @ form[batch] + decay * model.structure[h]
                 square[1][h] += g * g
                 model.structure[h] -= rate * g / np.sqrt(square[1][h])
                 g = error.sum()
                 square[2][h] += g * g
                 model.bias[h] -= rate * g / np.sqrt(square[2][h])
+    model.words[:, present] = words
 
 
 # ---------------------------------------------------------------- the operator
@@ -281,25 +308,170 @@ def _fit(model: Model, slots: list, values: list, form: np.ndarray, target: np.n
 _EXAMPLE = "_id {id}, _th long, _q int, _t int, _size int, _form array<double>, _hits int, _n int, _slots binary, _values binary"
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 8000, id_: str = "doc_id", text: str = "text", most: int = 1 << 23) -> Model:
-    """Train on at most ``sample`` labelled rows, those of the smallest hash of their id, and of these on as many as have at most ``most``
-    features (slots of a text's words) in all; both bound the driver's memory.
+def fit(documents: DataFrame, labels: DataFrame, sample: int | None = None, id_: str = "doc_id", text: str = "text", most: int = 1 << 23) -> Model:
+    """Train on all labelled rows.
 
-    Only the fit is bounded.  Labels may be null and are then not given; a row with several labels counts once for
-    each, and rows of one id are told apart by their texts.  The sample's texts are whole.  Without
-    labelled rows, the rows of the smallest hash are taken, and the heuristic labellers vote alone.
+    Labels may be null and are then not given; a row with several labels counts once for each.  Without labelled rows, all rows are
+    taken, and the heuristic labellers vote alone.  A caller who wants less may give a ``sample``: at most that many labelled rows, those
+    of the smallest hash of their id, and of these as many as have at most ``most`` features in all, are then trained on by the driver.
     """
-    given = labels.select(F.col(id_).alias("_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t"))
-    chosen = given.where("_id is not null").orderBy(F.xxhash64("_id"), "_id", "_q", "_t").limit(sample)
+    given = labels.select(F.col(id_).alias("_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")).where("_id is not null")
     docs = documents.select(F.col(id_).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    found = _examples(docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc"), sample, most)
-    if not found:
+    if sample is not None:
+        chosen = given.orderBy(F.xxhash64("_id"), "_id", "_q", "_t").limit(sample)
+        found = _examples(docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc"), sample, most)
+        return train([e for e, _ in found], [g for _, g in found])
+    features = _features(docs.join(given, F.col("_doc") == F.col("_id")))
+    n = features.count()
+    if not n:
+        common.drop_table(features)
         none = F.lit(None).cast("int")
-        hashed = docs.select(F.col("_doc").alias("_id"), "_text", none.alias("_q"), none.alias("_t"))
-        share = min(1.0, 2 * sample / max(1, docs.count()))  # the hash draws about twice as many, of which the first are taken
-        bar = F.lit(2**63 - 1 if share == 1 else int(share * 2**64) - 2**63)
-        found = _examples(hashed.where(F.xxhash64("_id") <= bar), sample, most)
-    return train([e for e, _ in found], [g for _, g in found])
+        features = _features(docs.select(F.col("_doc").alias("_id"), "_text", none.alias("_q"), none.alias("_t")))
+        n = features.count()
+    model = _train_all(features, n) if n else train([], [])
+    common.drop_table(features)
+    return model
+
+
+BLOCK = 4096  # rows that are trained on together
+BLOCK_FEATURES = 1 << 23
+_FEATURES = "_h long, _th long, _q int, _t int, _size int, _form array<double>, _hits int, _n int, _slots binary, _counts binary"
+_PARTS = 1 << 20  # of a rate, and
+_WEIGHTS = 1 << 24  # of a weight, in whole numbers
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """Stored features of the rows (_id, _text, _q, _t): gaps between slots, counts of words."""
+    names = T._parse_datatype_string(_FEATURES).names
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = common.held("features")
+        for batch in common.batches_up_to(batches, 200):
+            raw = common.texts(batch.column("_text"))
+            made = [example(t, memory) for t in raw]
+            th = np.array([xxhash.xxh64_intdigest(t.encode()) for t in raw], np.uint64).view(np.int64)
+            gaps = [_least(np.diff(e.slots, prepend=0), np.uint16) for e in made]
+            counts = [_least(np.rint(e.values * np.float64(e.size / 100)), np.uint8) for e in made]
+            columns = [pa.array([e.size for e in made], pa.int32()), pa.array([e.form for e in made], pa.list_(pa.float64())), pa.array([e.hits for e in made], pa.int32())]
+            columns += [pa.array([len(e.slots) for e in made], pa.int32()), pa.array(gaps, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(th), batch.column("_q"), batch.column("_t"), *columns], names)
+
+    hashed = rows.select(F.xxhash64("_id").alias("_h"), "_text", "_q", "_t")
+    return common.write_table(hashed.mapInArrow(count, _FEATURES), "features")
+
+
+def _least(numbers: np.ndarray, narrow: type) -> bytes:
+    """The numbers in a narrow type, or in 32 bits if one is too large."""
+    return numbers.astype(narrow if not len(numbers) or numbers.max() <= np.iinfo(narrow).max else np.int32).tobytes()
+
+
+def _read(raw: bytes, n: int, narrow: type) -> np.ndarray:
+    return np.frombuffer(raw, narrow if len(raw) == n * np.dtype(narrow).itemsize else np.int32)
+
+
+def _stored(batch: pa.RecordBatch) -> Iterator[tuple[Example, tuple[int, int]]]:
+    """Features and label votes of stored rows."""
+    columns = [batch.column(c).to_pylist() for c in ("_q", "_t", "_size", "_form", "_hits", "_n", "_slots", "_counts")]
+    for q, t, size, form, hits, n, slots, counts in zip(*columns, strict=True):
+        yield Example(size, form, hits, np.cumsum(_read(slots, n, np.uint16), dtype=np.int32), _values(_read(counts, n, np.uint8), size)), _label(q, t)
+
+
+def _sums(rows: DataFrame, count, width: int, length: int) -> np.ndarray:
+    """Whole-number arrays (width, length) that ``count(batches)`` gives by task, summed on executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("sums")
+        total = count(batches)
+        at = np.flatnonzero(total.any(axis=0))
+        for i in range(0, len(at), 50_000):
+            some = at[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(x[some], pa.int64()) for x in total)], ["at", *(f"x{i}" for i in range(width))])
+
+    names = [f"x{i}" for i in range(width)]
+    got = rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("at", *names))).groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((width, length), np.int64)
+    for i, c in enumerate(names):
+        out[i, got.column("at").to_numpy()] = got.column(c).to_numpy()
+    return out
+
+
+_CODES = 3 ** (len(STRUCTURE) + 1)  # bounds the vote patterns of a question
+
+
+def _code(votes: list[int]) -> int:
+    code = 0
+    for v in votes:
+        code = 3 * code + v + 1
+    return code
+
+
+def _votes(e: Example, label: tuple[int, int], stems: np.ndarray) -> tuple[list[int], list[int]]:
+    share = float(e.values[stems[e.slots]].sum()) / 100
+    return [*quality_votes(e.form, e.size), label[0]], [*toxic_votes(e.hits, share, e.size), label[1]]
+
+
+def _train_all(features: DataFrame, n: int, epochs: int = 26, rate: float = 0.8, decay: float = 1e-5) -> Model:
+    """What ``train`` does, on stored rows of any number."""
+    slots = 1 << BITS
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((5, slots + 1), np.int64)  # rows; rates and rows of those given as not toxic, and as toxic; last the rows in all
+        for batch in batches:
+            for e, (_, tox) in _stored(batch):
+                out[0, e.slots] += 1
+                if tox:
+                    k = 1 if tox < 0 else 3
+                    out[k, e.slots] += np.rint(e.values * np.float64(_PARTS)).astype(np.int64)
+                    out[k + 1, e.slots] += 1
+                    out[k + 1, slots] += 1
+        return out
+
+    sums = _sums(features, rates, 5, slots + 1)
+    common_ = sums[0, :slots] >= LEAST_ROWS
+    stems = np.zeros(slots, bool)
+    stems[_marking(sums[[1, 3], :slots] / _PARTS, sums[[2, 4], :slots], sums[[2, 4], slots])] = True
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((2, _CODES), np.int64)
+        for batch in batches:
+            for e, label in _stored(batch):
+                for h, votes in enumerate(_votes(e, label, stems)):
+                    out[h, _code(votes)] += 1
+        return out
+
+    reliability = []
+    for rows, width in zip(_sums(features, patterns, 2, _CODES), (len(quality_votes([0.0] * len(STRUCTURE), 1)) + 1, 3), strict=True):
+        codes = np.flatnonzero(rows)
+        votes = codes[:, None] // 3 ** np.arange(width)[::-1] % 3 - 1
+        reliability.append(expectation_maximisation(votes, rows=rows[codes]))
+    blocks = -(-n // BLOCK)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((2, slots + len(STRUCTURE) + 1), np.int64)
+        block, at, size = [], None, 0
+
+        def add() -> None:
+            if block:
+                votes = [_votes(e, label, stems) for e, label in block]
+                target = np.stack([r.posterior(np.array([v[h] for v in votes])) for h, r in enumerate(reliability)])
+                model = Model(np.zeros((2, slots)), np.zeros((2, len(STRUCTURE))), np.full(2, -2.0))
+                _fit(model, [e.slots for e, _ in block], [e.values for e, _ in block], np.array([e.form for e, _ in block]), target, epochs, rate, decay, common_)
+                out[:] += np.rint(np.hstack([model.words, model.structure, model.bias[:, None]]) * (len(block) * _WEIGHTS)).astype(np.int64)
+
+        for batch in batches:
+            for which, (e, label) in zip(batch.column("_block").to_pylist(), _stored(batch), strict=True):
+                if which != at or len(block) >= 2 * BLOCK or size + len(e.slots) > BLOCK_FEATURES:
+                    add()
+                    block, at, size = [], which, 0
+                block.append((e, label))
+                size += len(e.slots)
+        add()
+        return out
+
+    dealt = features.withColumn("_block", F.pmod("_h", F.lit(blocks))).repartition(4 * blocks, "_block")
+    order = ["_block", "_th", "_h", F.coalesce("_q", F.lit(-1)), F.coalesce("_t", F.lit(-1))]
+    total = _sums(dealt.sortWithinPartitions(*order), weights, 2, slots + len(STRUCTURE) + 1) / (n * _WEIGHTS)
+    return Model(total[:, :slots].copy(), total[:, slots:-1].copy(), total[:, -1].copy(), reliability)
 
 
 def _examples(rows: DataFrame, sample: int, most: int) -> list[tuple[Example, tuple[int | None, int | None]]]:

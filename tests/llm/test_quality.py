@@ -158,3 +158,42 @@ def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert Q.classify(empty, Q.train([], [])).collect() == []
     assert Q.digest(empty, labels).collect() == []
+
+
+def test_stored_features(spark):
+    texts = ["", "one", "wort1 idiot " * 300, " ".join(f"w{i}x" for i in range(3000)), "a b c"]
+    rows = spark.createDataFrame([(i, t, None, i % 2) for i, t in enumerate(texts)], "_id long, _text string, _q int, _t int")
+    want = {(e.size, e.hits, tuple(e.form), e.slots.tobytes(), e.values.tobytes()) for e in (Q.example(t, {}) for t in texts)}
+    got = [e for b in Q._features(rows).toArrow().to_batches() for e, _ in Q._stored(b)]
+    assert {(e.size, e.hits, tuple(e.form), e.slots.tobytes(), e.values.tobytes()) for e in got} == want
+
+
+def test_all_labelled_rows_count(spark):
+    """More rows than a sample had: accuracies as from all rows at once, weights as the blocks' average, whatever the order."""
+    r = random.Random(13)
+    texts = [" ".join(r.choice(GOOD[:40] + BAD) for _ in range(r.randrange(4, 20))) + r.choice(["", " ### $$$" * 4]) for _ in range(9000)]
+    given = [(r.choice((0, 1, None)), int("idiot" in t)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(given)], "doc_id long, quality int, toxic int")
+    model = Q.fit(docs, labels)
+    examples = [Q.example(t, {}) for t in texts]
+    whole = Q.train(examples, given, epochs=0)
+    for a, b in zip(model.reliability, whole.reliability, strict=True):
+        assert np.allclose(a.table, b.table, atol=1e-9) and abs(a.prior - b.prior) < 1e-9
+    stems = np.zeros(1 << Q.BITS, bool)
+    stems[Q._marking_slots([e.slots for e in examples], [e.values for e in examples], np.array([1 if t else -1 for _, t in given]))] = True
+    votes = [Q._votes(e, Q._label(*g), stems) for e, g in zip(examples, given, strict=True)]
+    common_ = np.bincount(np.concatenate([e.slots for e in examples]), minlength=1 << Q.BITS) >= Q.LEAST_ROWS
+    key = {x["doc_id"]: (x["b"], x["h"]) for x in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 3) b", "xxhash64(doc_id) h").collect()}
+    th = [Q.xxhash.xxh64_intdigest(t.encode()) for t in texts]
+    order = sorted(range(len(texts)), key=lambda i: (key[i][0], th[i] - 2**64 * (th[i] >= 2**63), key[i][1]))
+    words = 0
+    for b in range(3):
+        rows = [i for i in order if key[i][0] == b]
+        target = np.stack([m.posterior(np.array([votes[i][h] for i in rows])) for h, m in enumerate(whole.reliability)])
+        part = Q.Model(np.zeros((2, 1 << Q.BITS)), np.zeros((2, len(Q.STRUCTURE))), np.full(2, -2.0))
+        some = [examples[i] for i in rows]
+        Q._fit(part, [e.slots for e in some], [e.values for e in some], np.array([e.form for e in some]), target, 26, 0.8, 1e-5, common_)
+        words = words + part.words * len(rows) / len(texts)
+    assert np.allclose(model.words, words, atol=1e-6)
+    assert np.array_equal(Q.fit(docs.repartition(3), labels).words, model.words)
