@@ -14,8 +14,8 @@ gets sums of bounded size and no row.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import operator
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,8 +34,9 @@ LEAST_ROWS = 4
 FORM_EPOCHS = 6
 CLASS_SLOTS = 4  # of the class of insults, so that it is learned before its texts' other words are learned by heart
 EDGE = "\"'`.,;:!?()[]{}<>|#*$%&_-–—«»“”„…"
-_SYMBOLS = re.compile(r"[#*$%&|<>]+")
+_SYMBOLS = "#*$%&|<>"
 CACHE_WORDS = 400_000
+PIECE_WORDS = 1 << 16  # of a long text that are looked up at a time
 
 # Words that insult, as a labeller knows them.
 INSULTS = """
@@ -55,11 +56,11 @@ def structure(text: str, tokens: list[str]) -> list[float]:
     n = len(tokens)
     if not n:
         return [0, 0, 0, 0, 0, 0, 1, 0]
-    symbols = sum(map(len, _SYMBOLS.findall(text)))
+    symbols = sum(map(text.count, _SYMBOLS))
     upper = sum(map(str.isupper, tokens))
     distinct = len(set(tokens))
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    runs = sum(map(str.__eq__, tokens, tokens[1:]))
+    runs = sum(map(operator.eq, tokens, tokens[1:]))
     expected = min(n, 12 * n**0.5)  # distinct words that a text of this length has at least
     return [
         min(1.0, symbols / n / 2),
@@ -78,10 +79,37 @@ def word_slots(token: str) -> list[int]:
     w = token.lower().strip(EDGE)
     if not w:
         return []
-    names = [f"w {w}", *(f"{k} {w[:k]}" for k in PREFIXES if len(w) >= k)]
-    if w in _INSULTS:
-        names += [f"class insult {i}" for i in range(CLASS_SLOTS)]
-    return [xxhash.xxh32_intdigest(x.encode()) >> (32 - BITS) for x in names]
+    raw, digest, shift = w.encode(), xxhash.xxh32_intdigest, 32 - BITS
+    out = [digest(b"w " + raw) >> shift]
+    n = len(w)
+    for k, head in _HEADS:
+        if n < k:
+            break
+        out.append(digest(head + (raw[:k] if len(raw) == n else w[:k].encode())) >> shift)
+    return out + _CLASS if w in _INSULTS else out
+
+
+_HEADS = [(k, b"%d " % k) for k in PREFIXES]
+_CLASS = [xxhash.xxh32_intdigest(b"class insult %d" % i) >> (32 - BITS) for i in range(CLASS_SLOTS)]
+
+
+def slots_of(words: list[str], memory: dict[str, bytes]) -> np.ndarray:
+    """Slots of all words, one after another; ``memory`` keeps them by word as 32-bit numbers."""
+    if len(memory) > CACHE_WORDS:
+        memory.clear()
+    row = list(map(memory.get, words))
+    if None in row:
+        for i in [i for i, x in enumerate(row) if x is None]:
+            w = words[i]
+            x = memory.get(w)
+            if x is None:
+                x = memory[w] = array("i", word_slots(w)).tobytes()
+            row[i] = x
+    return np.frombuffer(b"".join(row), np.int32)
+
+
+def _pieces(words: list[str]) -> Iterator[list[str]]:
+    return (words[i : i + PIECE_WORDS] for i in range(0, len(words), PIECE_WORDS))
 
 
 # ---------------------------------------------------------------- labellers and their accuracies
@@ -148,25 +176,21 @@ class Model:
         return Scorer(self)
 
 
-class Scorer(dict):
-    """Memory of token weights: the low-quality weight is the real part, the toxic one the imaginary."""
+class Scorer:
+    """Applies a model; remembers the slots of words."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-        self.weights = (model.words[0] + 1j * model.words[1]).tolist()
-
-    def __missing__(self, token: str) -> complex:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[token] = sum(map(self.weights.__getitem__, word_slots(token)), 0j)
-        return value
+        self.memory: dict[str, bytes] = {}
 
     def score(self, text: str) -> tuple[float, float]:
         """Chances that a text is of low quality, and toxic."""
         tokens = text.split()
-        total = sum(map(self.__getitem__, tokens), 0j) * (100 / max(1, len(tokens)))
-        logit = self.model.structure @ np.array(structure(text, tokens)) + self.model.bias + (total.real, total.imag)
+        total = np.zeros(2)
+        for piece in _pieces(tokens):
+            slots = slots_of(piece, self.memory)
+            total += [w.take(slots).sum() for w in self.model.words]
+        logit = self.model.structure @ np.array(structure(text, tokens)) + self.model.bias + total * (100 / max(1, len(tokens)))
         a, b = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         return float(a), float(b)
 
@@ -182,23 +206,20 @@ class Example:
     values: np.ndarray
 
 
-def example(text: str, memory: dict[str, tuple[np.ndarray, bool]]) -> Example:
+def example(text: str, memory: dict[str, bytes]) -> Example:
     words = text.split()
     size = max(1, len(words))
-    count = Counter(words)
-    known = []
-    for w in count:
-        x = memory.get(w)
-        if x is None:
-            if len(memory) > 100_000:
-                memory.clear()
-            x = memory[w] = (np.array(word_slots(w), np.int32), w.lower().strip(EDGE) in _INSULTS)
-        known.append(x)
-    hits = sum(c for c, (_, insult) in zip(count.values(), known, strict=True) if insult)
-    all_ = np.concatenate([x for x, _ in known]) if known else np.zeros(0, np.int32)
-    times = np.repeat(np.fromiter(count.values(), np.int64, len(count)), [len(x) for x, _ in known])
-    slots, inverse = np.unique(all_, return_inverse=True)
-    return Example(size, structure(text, words), hits, slots, _values(np.bincount(inverse, times, len(slots)), size))
+    found = [np.unique(slots_of(piece, memory), return_counts=True) for piece in _pieces(words)]
+    if len(found) == 1:
+        slots, counts = found[0]
+    else:
+        slots, inverse = np.unique(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in found)]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([np.zeros(0), *(n for _, n in found)]), len(slots))
+    at = int(slots.searchsorted(_CLASS[0]))
+    hits = 0
+    if at < len(slots) and slots[at] == _CLASS[0]:  # a text with insults has the slots of their class
+        hits = sum(w.lower().strip(EDGE) in _INSULTS for w in words)
+    return Example(size, structure(text, words), hits, slots, _values(counts, size))
 
 
 def _values(counts: np.ndarray, size: int) -> np.ndarray:
@@ -271,6 +292,7 @@ def _fit(model: Model, slots: list, values: list, form: np.ndarray, target: np.n
     slots = [place[s] for s in slots]
     words, lengths = model.words[:, present], np.array([len(s) for s in slots])
     r = np.random.default_rng(7)
+    near = np.zeros(len(present), np.int64)
     square = [np.full(words.shape, 1e-3), np.full(model.structure.shape, 1e-3), np.full(2, 1e-3)]
     # few rows need more rounds for as many steps
     rounds = max(1, -(-64 * 40 // max(n, 1)))
@@ -283,16 +305,20 @@ def _fit(model: Model, slots: list, values: list, form: np.ndarray, target: np.n
                 slot = np.concatenate([slots[i] for i in batch])
                 value = np.concatenate([values[i] for i in batch])
                 row = np.repeat(np.arange(len(batch)), lengths[batch])
-                used = np.bincount(slot, minlength=len(present)) > 0
+                used = np.flatnonzero(np.bincount(slot, minlength=len(present)))
+                near[used] = np.arange(len(used))  # only the batch's own slots are worked on
+                slot = near.take(slot)
             for h in (0, 1):
                 z = form[batch] @ model.structure[h] + model.bias[h]
                 if learns:  # before, words have no weights
-                    z = np.bincount(row, value * words[h].take(slot), len(batch)) + z
+                    weight = words[h].take(used)
+                    z = np.bincount(row, value * weight.take(slot), len(batch)) + z
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[h, batch]) / len(batch)
                 if learns:
-                    g = np.bincount(slot, value * error.take(row), len(present)) + decay * words[h] * used
-                    square[0][h] += g * g
-                    words[h] -= 0.2 * rate * g / np.sqrt(square[0][h])
+                    g = np.bincount(slot, value * error.take(row), len(used)) + decay * weight
+                    total = square[0][h].take(used) + g * g
+                    square[0][h][used] = total
+                    words[h][used] = weight - 0.2 * rate * g / np.sqrt(total)
                 g = error @ form[batch] + decay * model.structure[h]
                 square[1][h] += g * g
                 model.structure[h] -= rate * g / np.sqrt(square[1][h])
@@ -321,7 +347,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int | None = None, id_:
         chosen = given.orderBy(F.xxhash64("_id"), "_id", "_q", "_t").limit(sample)
         found = _examples(docs.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc"), sample, most)
         return train([e for e, _ in found], [g for _, g in found])
-    features = _features(docs.join(given, F.col("_doc") == F.col("_id")))
+    features = _labelled_features(docs, given)
     n = features.count()
     if not n:
         common.drop_table(features)
@@ -340,24 +366,72 @@ _PARTS = 1 << 20  # of a rate, and
 _WEIGHTS = 1 << 24  # of a weight, in whole numbers
 
 
+_COUNTED = "_th long, _size int, _form array<double>, _hits int, _n int, _slots binary, _counts binary"
+
+
 def _features(rows: DataFrame) -> DataFrame:
     """Stored features of the rows (_id, _text, _q, _t): gaps between slots, counts of words."""
-    names = T._parse_datatype_string(_FEATURES).names
+    hashed = rows.select(F.xxhash64("_id").alias("_h"), "_text", "_q", "_t")
+    return _store(_counted(hashed))
+
+
+def _labelled_features(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """Stored features of the texts (_doc, _text) for each of their labels (_id, _q, _t).
+
+    Texts stay where they lie: those that a bitmap of hashed ids finds unlabelled are left out, the others' features are
+    counted there, and these meet the labels, which also drops the few whose hash alone was marked.
+    """
+    kind = docs.schema["_doc"].dataType
+    if given.schema["_id"].dataType != kind:
+        given = given.withColumn("_id", F.col("_id").try_cast(kind))
+    hashed = docs.where("_doc is not null").select("_doc", F.xxhash64("_doc").alias("_h"), "_text")
+    counted = _counted(hashed, _bitmap(given.select(F.xxhash64("_id").alias("_h"))))
+    # the same join at any size; labels may be as many as the texts
+    features = _store(counted.hint("merge").join(given, F.col("_doc") == F.col("_id")))
+    common.free_shuffles(docs.sparkSession)
+    return features
+
+
+def _store(rows: DataFrame) -> DataFrame:
+    return common.write_table(rows.select(*T._parse_datatype_string(_FEATURES).names), "features")
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """64-bit words, 8 to 16 bits a hash as far as 32 MB reach; a hash's first bits tell its place."""
+    k = min(28, max(10, (8 * hashes.count()).bit_length()))
+    place = hashes.select(F.shiftrightunsigned("_h", 64 - k).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(p & 63)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (k - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _marked(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    place = hashes.view(np.uint64) >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _counted(rows: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """``rows`` (_h, _text and more) with features in place of their texts; only those that ``bitmap`` marks, if there is one."""
+    stay = [f for f in rows.schema.fields if f.name != "_text"]
+    schema = T.StructType(stay + T._parse_datatype_string(_COUNTED).fields)
+    sent = None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = common.held("features")
-        for batch in common.batches_up_to(batches, 200):
+        for batch in common.batches_up_to(batches, 1000):
+            if sent is not None:
+                batch = batch.filter(pa.array(_marked(batch.column("_h").to_numpy(), sent.value)))
             raw = common.texts(batch.column("_text"))
             made = [example(t, memory) for t in raw]
             th = np.array([xxhash.xxh64_intdigest(t.encode()) for t in raw], np.uint64).view(np.int64)
             gaps = [_least(np.diff(e.slots, prepend=0), np.uint16) for e in made]
             counts = [_least(np.rint(e.values * np.float64(e.size / 100)), np.uint8) for e in made]
-            columns = [pa.array([e.size for e in made], pa.int32()), pa.array([e.form for e in made], pa.list_(pa.float64())), pa.array([e.hits for e in made], pa.int32())]
+            columns = [pa.array(th), pa.array([e.size for e in made], pa.int32()), pa.array([e.form for e in made], pa.list_(pa.float64())), pa.array([e.hits for e in made], pa.int32())]
             columns += [pa.array([len(e.slots) for e in made], pa.int32()), pa.array(gaps, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(th), batch.column("_q"), batch.column("_t"), *columns], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in stay), *columns], schema.names)
 
-    hashed = rows.select(F.xxhash64("_id").alias("_h"), "_text", "_q", "_t")
-    return common.write_table(hashed.mapInArrow(count, _FEATURES), "features")
+    return rows.mapInArrow(count, schema)
 
 
 def _least(numbers: np.ndarray, narrow: type) -> bytes:

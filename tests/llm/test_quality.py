@@ -197,3 +197,20 @@ def test_all_labelled_rows_count(spark):
         words = words + part.words * len(rows) / len(texts)
     assert np.allclose(model.words, words, atol=1e-6)
     assert np.array_equal(Q.fit(docs.repartition(3), labels).words, model.words)
+
+
+def test_texts_stay_where_they_lie(spark, monkeypatch):
+    """Features are counted below every exchange, and those of the rows that an inner join finds are stored."""
+    plans = []
+
+    def write(df, name, write_table=Q.common.write_table, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write_table(df, name, **more)
+
+    monkeypatch.setattr(Q.common, "write_table", write)
+    monkeypatch.setattr(Q, "_train_all", lambda features, n: [(r._size, r._q, r._t) for r in features.collect()])
+    docs = spark.createDataFrame([(None if i == 7 else i, "wort " * (i + 1)) for i in range(3000)], "doc_id int, text string").repartition(3)
+    given = [(5, 1, 0), (5, 0, None), (9, None, 1), (2999, 1, 1), (None, 1, 1), (7, 1, 1), (1 << 40, 1, 0)]
+    found = Q.fit(docs, spark.createDataFrame(given, "doc_id long, quality int, toxic int"))
+    assert {(6, 1, 0), (6, 0, None), (10, None, 1), (3000, 1, 1)} == set(found) and len(found) == 4
+    assert plans[0].index("Exchange") < plans[0].index("MapInArrow")
