@@ -25,7 +25,8 @@ from . import common
 
 SIZE = 2048
 END = 1
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
+BATCH_PIECES = 500  # of at most ``size`` ids each
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[ \t\n\r]+")
 _PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
@@ -185,6 +186,25 @@ PIECE = T.StructType(
 )
 
 
+def piece_batches(fields: T.StructType, name: pa.DataType, names: list, bodies: list[bytes], pieces: list, base: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``pieces`` in small batches: a group's ids are not copied all at once, neither here nor on the JVM's side."""
+    for at in range(0, len(pieces), BATCH_PIECES):
+        doc, start, length, window, offset = (list(x) for x in zip(*pieces[at : at + BATCH_PIECES], strict=True))
+        cut = [memoryview(bodies[d])[4 * s : 4 * (s + n)] for d, s, n in zip(doc, start, length, strict=True)]
+        columns = [
+            pa.array([names[d] for d in doc], name),
+            start,
+            length,
+            [zlib.crc32(c) for c in cut],
+            [len(bodies[d]) // 4 for d in doc],
+            [base + w for w in window],
+            offset,
+        ]
+        if "ids" in fields.names[1:]:
+            columns.append(pa.array([bytes(c) for c in cut], pa.binary()))
+        yield pa.RecordBatch.from_pydict(dict(zip(fields.names, columns, strict=True)))
+
+
 def pack(df: DataFrame, tokenizer: str, id_: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, ids: bool = True, group: int = 1 << 25) -> DataFrame:
     """Pieces of all documents of ``df`` in windows of at most ``size`` tokens.
 
@@ -196,24 +216,6 @@ def pack(df: DataFrame, tokenizer: str, id_: str = "doc_id", text: str = "text",
     """
     fields = T.StructType([df.schema[id_], *[f for f in PIECE.fields if ids or f.name != "ids"]])
 
-    def flush(names: list, bodies: list[bytes], base: int) -> tuple[pa.RecordBatch, int]:
-        lengths = [len(b) // 4 for b in bodies]
-        pieces = pack_lengths(lengths, size)
-        doc, start, length, window, offset = (list(x) for x in zip(*pieces, strict=True))
-        cut = [memoryview(bodies[d])[4 * s : 4 * (s + n)] for d, s, n in zip(doc, start, length, strict=True)]
-        columns = {
-            id_: pa.array([names[d] for d in doc], NAME),
-            "start": start,
-            "length": length,
-            "ids_crc32": [zlib.crc32(c) for c in cut],
-            "doc_tokens": [lengths[d] for d in doc],
-            "sequence_id": [base + w for w in window],
-            "offset": offset,
-        }
-        if ids:
-            columns["ids"] = pa.array([bytes(c) for c in cut], pa.binary())
-        return pa.RecordBatch.from_pydict(columns), base + max(window) + 1
-
     from pyspark.sql.pandas.types import to_arrow_type
 
     NAME = to_arrow_type(df.schema[id_].dataType)
@@ -229,11 +231,12 @@ def pack(df: DataFrame, tokenizer: str, id_: str = "doc_id", text: str = "text",
             bodies += new
             held += sum(map(len, new))
             if held >= group:
-                out, base = flush(names, bodies, base)
-                yield out
+                pieces = pack_lengths([len(b) // 4 for b in bodies], size)
+                yield from piece_batches(fields, NAME, names, bodies, pieces, base)
+                base += max(p[3] for p in pieces) + 1
                 names, bodies, held = [], [], 0
         if names:
-            yield flush(names, bodies, base)[0]
+            yield from piece_batches(fields, NAME, names, bodies, pack_lengths([len(b) // 4 for b in bodies], size), base)
 
     return df.select(id_, text).mapInArrow(run, fields)
 

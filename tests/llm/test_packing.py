@@ -110,3 +110,18 @@ def test_placement_decides_how_often_documents_are_cut():
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_rows_leave_in_small_batches():
+    """A group's ids don't go to the JVM in one batch."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    bodies = [np.full(2048, i, "<u4").tobytes() for i in range(3 * P.BATCH_PIECES + 7)] + [b"\x01\0\0\0"]
+    pieces = P.pack_lengths([len(b) // 4 for b in bodies])
+    fields = T.StructType([T.StructField("doc_id", T.LongType()), *P.PIECE.fields])
+    got = list(P.piece_batches(fields, pa.int64(), list(range(len(bodies))), bodies, pieces, 1 << 32))
+    assert len(got) == 4 and max(b.nbytes for b in got) < P.BATCH_PIECES * (4 * 2048 + 100)
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [(r["doc_id"], r["start"], r["length"], r["sequence_id"] - (1 << 32), r["offset"]) for r in rows] == pieces
+    assert all(r["ids"] == bodies[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])] and r["ids_crc32"] == zlib.crc32(r["ids"]) for r in rows)
